@@ -8,14 +8,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import near_dup
+from quarrylight.llm import near_dup, vectors
 from quarrylight.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of similarity 0.85 or more of which one is among the other's 10 nearest."""
+    near = vectors.nearest_vectors(table(spark, sf_dir, "chunk_vectors"), k=10, min_similarity=0.85)
+    return near.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The up to 10 nearest vectors of similarity 0.85 or more, in order, of each vector."""
+    near = vectors.nearest_vectors(table(spark, sf_dir, "chunk_vectors"), k=10, min_similarity=0.85)
+    return near.select(F.col("id").alias("vec_id"), F.col("other").alias("neighbour_id"), "rank", F.round("similarity", 6).alias("similarity"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks whose 3-token sets have a Jaccard similarity of 0.6 or more."""
     pairs = near_dup.similar_pairs(table(spark, sf_dir, "chunks"), "chunk_id", "text", n=3, threshold=0.6, min_tokens=20)
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found,)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found)}

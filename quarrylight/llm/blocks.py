@@ -18,6 +18,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def one_per(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key, for keys whose rows are all equal.
+
+    A window rather than an aggregate: Spark recognises the shuffles of plans
+    above it as the same when the result is used several times.
+    """
+    place = F.row_number().over(W.partitionBy(key).orderBy(key))
+    return rows.filter(F.col(key).isNotNull()).withColumn("place", place).filter(F.col("place") == 1).drop("place")
+
+
 def bucket_units(rows: DataFrame, key: str, order: str, limit: int) -> DataFrame:
     """Rows of buckets with at least two members, plus ``u, v, blk``.
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.blocks import binary_rows, bucket_units, fixed_bytes, unit_starts, whole_units
+from quarrylight.llm.blocks import binary_rows, bucket_units, fixed_bytes, one_per, unit_starts, whole_units
 
 TOKEN = "[a-z0-9]+"
 WORDS = 8  # words of 16 bits in a code
@@ -91,9 +91,7 @@ def ngram_sets(rows: DataFrame, text: str, n: int, min_tokens: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["class", "grams"])
 
     texts = rows.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("class"), F.col(text).alias("text"))
-    # the filter is the one that joins on class infer: with it here, all uses of the
-    # result have one plan and share one shuffle
-    return texts.mapInArrow(grams, "class long, grams binary").filter(F.col("class").isNotNull()).dropDuplicates(["class"])
+    return one_per(texts.mapInArrow(grams, "class long, grams binary"), "class")
 
 
 def trie_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:

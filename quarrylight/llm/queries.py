@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import near_dup, vectors
+from quarrylight.llm import encode, leakage, near_dup, vectors
 from quarrylight.session import table
 
 
@@ -30,4 +30,37 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found)}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return encode.encode(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "ids")
+
+
+def p6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the number of tokens and whether decoding gives back the text."""
+    docs = table(spark, sf_dir, "documents")
+    ids = encode.encode(docs)
+    back = encode.decode(ids, "id", "ids").select("id", F.sha2("bytes", 256).alias("digest"))
+    size = ids.select("id", F.size("ids").alias("n_tokens"))
+    text = docs.select(F.col("doc_id").alias("id"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("stored"))
+    joined = size.join(back, "id").join(text, "id")
+    return joined.select(F.col("id").alias("doc_id"), "n_tokens", (F.col("digest") == F.col("stored")).alias("same"))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = [F.array("question"), F.transform("evidence", lambda e: e["evidence_text"])]
+    return leakage.leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "questions"), "doc_id", "text", "financebench_id", texts, run=12
+    )
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a run of 12 tokens of a question or of its evidence."""
+    return _leaks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("test").alias("financebench_id")).distinct()
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token spans to remove, with the test items leaked into each."""
+    return _leaks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("test").alias("financebench_id"), "first_token", "last_token")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p6_ids, p6_tokens, p7_found, p7_spans)}

@@ -8,8 +8,8 @@ Plan
 2. ``pivots`` vectors, a bounded sample drawn by a hash of the id, are the
    index's only fitted part.  A vector is represented by its ``prefix`` nearest
    pivots in order (a permutation prefix).
-3. It is posted in an inverted file for each pair of its ``post`` nearest
-   pivots.  The number of pivots grows with the square root of the number of
+3. It is posted in inverted files, each for a pair of its ``post`` nearest
+   pivots (see ``pivot_pairs``).  The number of pivots grows with the square root of the number of
    vectors, so the files keep their size as the data grow.
 4. Inside a file every two vectors are compared by the footrule distance of
    their permutations; pairs up to ``max_footrule`` are ranked by it and the
@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrylight.llm.blocks import binary_rows, bucket_units, fixed_bytes, ragged_pairs, unit_starts, whole_units
+from quarrylight.llm.blocks import binary_rows, bucket_units, fixed_bytes, one_per, ragged_pairs, unit_starts, whole_units
 
+SCALE = 32767  # vectors are held in 16-bit fixed point: similarities are right to about 1e-5
 MAX_PIVOTS = 4096  # bound of the sample that the driver holds (1 MB at width 64)
 
 
@@ -50,18 +51,18 @@ def unit_matrix(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unit_vectors(vectors: DataFrame, key: str, embedding: str, width: int) -> DataFrame:
-    """``(id, class, vec)`` of the usable vectors; vec holds float32 at unit length."""
+    """``(id, class, vec)`` of the usable vectors; vec holds the unit vector in fixed point."""
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, matrix = unit_matrix(batch.column(1), width)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), binary_rows(matrix.astype(np.float32))], ["id", "vec"]
+                [batch.column(0).take(pa.array(rows)), binary_rows(np.rint(matrix * SCALE).astype(np.int16))], ["id", "vec"]
             )
 
     usable = vectors.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(embedding).alias("embedding"))
     kind = vectors.schema[key].dataType.simpleString()
-    return usable.mapInArrow(scale, f"id {kind}, vec binary").filter(F.col("vec").isNotNull()).withColumn("class", F.xxhash64("vec"))
+    return usable.mapInArrow(scale, f"id {kind}, vec binary").withColumn("class", F.xxhash64("vec"))
 
 
 def choose_pivots(vectors: DataFrame, key: str, embedding: str, width: int, count: int) -> np.ndarray:
@@ -78,6 +79,21 @@ def choose_pivots(vectors: DataFrame, key: str, embedding: str, width: int, coun
     return matrix[np.sort(first)][:count].astype(np.float32)
 
 
+def pivot_pairs(post: int) -> list[tuple[int, int]]:
+    """The pairs of places in the permutation that name a vector's inverted files.
+
+    Pairs of late places are left out: they join few near vectors that no
+    earlier pair joins.
+    """
+    return [(x, y) for x, y in combinations(range(post), 2) if x + y < post]
+
+
+def file_keys(perm: np.ndarray, post: int, m: int) -> np.ndarray:
+    """The numbers of the inverted files of each permutation (one per column)."""
+    x, y = (perm[:, list(c)].astype(np.int64) for c in zip(*pivot_pairs(post)))
+    return np.minimum(x, y) * m + np.maximum(x, y)
+
+
 def postings(classes: DataFrame, pivots: np.ndarray, width: int, prefix: int, post: int) -> DataFrame:
     """``(key, class, perm, q)``: one row per inverted file a vector is posted in."""
     m = len(pivots)
@@ -86,18 +102,15 @@ def postings(classes: DataFrame, pivots: np.ndarray, width: int, prefix: int, po
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            matrix = fixed_bytes(batch.column(1), width * 4).copy().view(np.float32)
+            matrix = fixed_bytes(batch.column(1), width * 2).copy().view(np.int16).astype(np.float32) / SCALE
             near = matrix @ pivots.T
             top = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix]
             order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
             perm = np.take_along_axis(top, order, 1).astype(np.uint16)
             q = np.clip(np.rint(matrix * 127), -127, 127).astype(np.int8)
             perms, qs = binary_rows(perm), binary_rows(q)
-            for x, y in combinations(range(post), 2):
-                low, high = np.minimum(perm[:, x], perm[:, y]).astype(np.int64), np.maximum(perm[:, x], perm[:, y])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(low * m + high), batch.column(0), perms, qs], ["key", "class", "perm", "q"]
-                )
+            for key in file_keys(perm, post, m).T:
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), perms, qs], ["key", "class", "perm", "q"])
 
     return classes.mapInArrow(rows, "key long, class long, perm binary, q binary")
 
@@ -113,9 +126,21 @@ def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def file_pairs(
-    posted: DataFrame, width: int, prefix: int, candidates: int, keep: int, max_footrule: int, least: float | None, block: int
+    posted: DataFrame,
+    width: int,
+    prefix: int,
+    post: int,
+    m: int,
+    candidates: int,
+    keep: int,
+    max_footrule: int,
+    least: float | None,
+    block: int,
 ) -> DataFrame:
-    """``(a, b, score)`` with a < b: the pairs of each file that are worth reranking."""
+    """``(a, b, score)`` with a < b: the pairs of each file that are worth reranking.
+
+    A pair is given by the first of the files that it shares, so only once.
+    """
 
     def best(owner: np.ndarray, value: np.ndarray, count: int) -> np.ndarray:
         """Mask of the ``count`` smallest values of each owner."""
@@ -133,7 +158,7 @@ def file_pairs(
             ends = np.append(starts[1:], part.num_rows)
             perm = fixed_bytes(part.column("perm"), prefix * 2).copy().view(np.uint16)
             q = fixed_bytes(part.column("q"), width).copy().view(np.int8)
-            classes, u, v, blk = (part.column(c).to_numpy() for c in ("class", "u", "v", "blk"))
+            key, classes, u, v, blk = (part.column(c).to_numpy() for c in ("key", "class", "u", "v", "blk"))
             for i, j in ragged_pairs(starts, ends):
                 far = footrule(perm[i], perm[j])
                 ok = (far <= max_footrule) & ((u[i] == v[i]) | (blk[i] != blk[j]))
@@ -150,8 +175,12 @@ def file_pairs(
                     ]
                 ) / np.float32(127 * 127)
                 if least is not None:
-                    ok = score >= least - 0.02
+                    ok = score >= least - 0.015
                     i, j, score = i[ok], j[ok], score[ok]
+                shared = file_keys(perm[i], post, m)[:, :, None] == file_keys(perm[j], post, m)[:, None, :]
+                first = np.where(shared.any(2), file_keys(perm[i], post, m), m * m).min(1)
+                ok = first == key[i]
+                i, j, score = i[ok], j[ok], score[ok]
                 if len(i) == 0:
                     continue
                 ok = best(i, -score, keep) | best(j, -score, keep)
@@ -161,7 +190,14 @@ def file_pairs(
                 )
 
     units = bucket_units(posted, "key", "class", block)
-    return units.mapInArrow(compare, "a long, b long, score float").groupBy("a", "b").agg(F.max("score").alias("score"))
+    return units.mapInArrow(compare, "a long, b long, score float")
+
+
+def best_pairs(pairs: DataFrame, count: int) -> DataFrame:
+    """The pairs ``(a, b)`` that are among the ``count`` best scores of a or of b."""
+    both = pairs.select("a", "b", "score", F.explode(F.array("a", "b")).alias("owner"))
+    place = F.row_number().over(W.partitionBy("owner").orderBy(F.desc("score"), "a", "b"))
+    return both.withColumn("place", place).filter(F.col("place") <= count).select("a", "b").distinct()
 
 
 def rerank(pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -169,7 +205,7 @@ def rerank(pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (fixed_bytes(batch.column(c), width * 4).copy().view(np.float32).astype(np.float64) for c in (2, 3))
+            x, y = (fixed_bytes(batch.column(c), width * 2).copy().view(np.int16).astype(np.float64) for c in (2, 3))
             cosine = np.einsum("ij,ij->i", x, y) / np.sqrt((x**2).sum(1) * (y**2).sum(1)) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], ["a", "b", "similarity"])
 
@@ -207,26 +243,31 @@ def nearest_vectors(
     prefix = min(prefix, len(chosen))
     post = min(post, prefix)
     units = unit_vectors(vectors, key, embedding, width)
-    classes = units.select("class", "vec").dropDuplicates(["class"])
+    classes = one_per(units.select("class", "vec"), "class")
     if post >= 2:
         farthest = max_footrule if max_footrule is not None else prefix * (prefix + 1)
         posted = postings(classes, chosen, width, prefix, post)
-        pairs = file_pairs(posted, width, prefix, candidates, 3 * k, farthest, min_similarity, block)
-    else:  # fewer than two different vectors in the sample: compare all in one file
-        alone = units.select("class", "vec").dropDuplicates(["class"]).select(F.col("class").alias("a"))
-        pairs = alone.join(alone.toDF("b"), F.col("a") < F.col("b")) if len(chosen) else alone.withColumn("b", F.col("a")).limit(0)
-    exact = rerank(pairs.select("a", "b"), classes, width)
+        pairs = file_pairs(posted, width, prefix, post, len(chosen), candidates, k + 6, farthest, min_similarity, block)
+    else:  # fewer than two different vectors, so no pair of classes
+        alone = classes.select(F.col("class").alias("a"))
+        pairs = alone.withColumn("b", F.col("a")).withColumn("score", F.lit(1.0)).limit(0)
+    exact = rerank(best_pairs(pairs, k + 6), classes, width)
     if min_similarity is not None:
         exact = exact.filter(F.col("similarity") >= min_similarity)
 
     ids = units.select("id", "class").distinct()
-    placed = ids.withColumn("place", F.row_number().over(W.partitionBy("class").orderBy("id")))
+    w = W.partitionBy("class")
+    placed = ids.withColumn("place", F.row_number().over(w.orderBy("id"))).withColumn("n", F.count(F.lit(1)).over(w))
     first = placed.filter(F.col("place") <= k + 1)
     both = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    copies = first.filter(F.col("place") == 2).select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity"))
-    near = both.unionByName(copies).join(first.select(F.col("class").alias("b"), F.col("id").alias("other"), "place"), "b")
+    copies = first.filter(F.col("place") == 2).select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(2.0).alias("similarity"))
+    near = both.unionByName(copies).join(first.select(F.col("class").alias("b"), F.col("id").alias("other")), "b")
     by_class = W.partitionBy("a").orderBy(F.desc("similarity"), "other")
     best = near.withColumn("at", F.row_number().over(by_class)).filter(F.col("at") <= k + 1)
-    out = ids.join(best.select(F.col("a").alias("class"), "other", "similarity"), "class").filter(F.col("id") != F.col("other"))
-    ranked = out.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other")))
-    return ranked.filter(F.col("rank") <= k).select("id", "other", "similarity", "rank")
+    # all members of a class share its list, which begins with the class's own
+    # members (marked by similarity 2); a member's place in it is left out
+    listed = placed.join(best.select(F.col("a").alias("class"), "other", "similarity", "at"), "class")
+    ranked = listed.filter(F.col("id") != F.col("other")).withColumn(
+        "rank", F.col("at") - ((F.col("n") > 1) & (F.col("place") < F.col("at"))).cast("int")
+    )
+    return ranked.filter(F.col("rank") <= k).select("id", "other", F.least("similarity", F.lit(1.0)).alias("similarity"), "rank")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import encode, leakage, near_dup, vectors
+from quarrylight.llm import encode, leakage, near_dup, splitting, vectors
 from quarrylight.session import table
 
 
@@ -30,6 +30,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks longer than their filing's size, and whether a cut had to be forced."""
+    cut = splitting.split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "ingest_documents"))
+    forced = F.exists("pieces", lambda p: p["forced"])
+    return cut.select(F.col("key").alias("chunk_id"), F.when(forced, "forced").otherwise("natural").alias("cut"))
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of those chunks in order."""
+    cut = splitting.split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "ingest_documents"))
+    each = cut.select("key", F.posexplode("pieces").alias("piece_no", "p"))
+    return each.select(F.col("key").alias("chunk_id"), "piece_no", F.col("p.start").alias("start_pos"), F.col("p.piece").alias("piece"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode.encode(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "ids")
@@ -63,4 +77,4 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("test").alias("financebench_id"), "first_token", "last_token")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p6_ids, p6_tokens, p7_found, p7_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p5_found, p5_pieces, p6_ids, p6_tokens, p7_found, p7_spans)}

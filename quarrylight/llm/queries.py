@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import encode, leakage, near_dup, splitting, vectors
+from quarrylight.llm import encode, leakage, near_dup, pii, splitting, vectors
 from quarrylight.session import table
 
 
@@ -77,4 +77,15 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("test").alias("financebench_id"), "first_token", "last_token")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p5_found, p5_pieces, p6_ids, p6_tokens, p7_found, p7_spans)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of personal information."""
+    spans = pii.personal_spans(table(spark, sf_dir, "documents"))
+    return spans.select(F.col("id").alias("doc_id"), "kind", F.col("start").alias("start_pos"))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with typed placeholders in place of personal information."""
+    return pii.redact(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p5_found, p5_pieces, p6_ids, p6_tokens, p7_found, p7_spans, p8_found, p8_redacted)}

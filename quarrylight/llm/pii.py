@@ -171,9 +171,12 @@ def identifiers(text: str) -> list[tuple[int, int, str]]:
         if digits >= 6 and (labelled or bare) and free(start, end):
             taken.append((start, end, "id_number"))
     for m in PHONE.finditer(text):
-        digits = sum(c.isdigit() for c in m.group().split("ext")[0])
-        if 7 <= digits <= 15 and loose(*m.span()) and free(*m.span()):
-            taken.append((*m.span(), "phone"))
+        start, end = m.span()
+        while end and not loose(start, end):  # leave out trailing groups that belong to what follows
+            end = max(text.rfind(" ", start, end), 0)
+        digits = sum(c.isdigit() for c in text[start:end].split("ext")[0])
+        if 7 <= digits <= 15 and free(start, end):
+            taken.append((start, end, "phone"))
     for s, e in addresses(text):
         before = text[s - 1 : s]
         if not (before.isalnum() or before in set("$€£.,")) and free(s, e):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import text as T
 from quarrylight.operators import dense, fusion, lexical
 from quarrylight.plans import oracle as O
-from quarrylight.session import table
+from quarrylight.session import materialise, table
 
 TOP_K, DEPTH = 12, 60  # results of a search; candidates per list: max(30, 5 * top k)
 
@@ -133,7 +133,8 @@ def candidate_lists(q: DataFrame, d: DataFrame, vectors: DataFrame) -> DataFrame
 def fused_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     q, d = questions(spark, sf_dir), docs(spark, sf_dir)
     lists = candidate_lists(q, d, dense.usable_vectors(table(spark, sf_dir, "chunk_vectors")))
-    return q, d, fusion.reciprocal_rank_fusion(lists)
+    # used several times below: written once, so that no step scores the corpus again
+    return q, d, materialise(fusion.reciprocal_rank_fusion(lists), "fused")
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,14 +51,19 @@ def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     counts each time.
     """
     post, stats = postings(docs), corpus_stats(docs)
+    return scores_of(queries, post, term_stats(post, stats), F.broadcast(stats.select("avgdl")))  # one row
+
+
+def scores_of(queries: DataFrame, post: DataFrame, idf: DataFrame, avgdl: DataFrame | float) -> DataFrame:
+    """The same over a ready index: postings, term statistics and the mean length."""
     asked = queries.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(
         F.count(F.lit(1)).alias("qtf")
     )
-    weighted = asked.join(term_stats(post, stats), "term")
-    avgdl = F.broadcast(stats.select("avgdl"))  # one row
+    met = post.join(asked.join(idf, "term"), "term")
+    met = met.join(avgdl) if isinstance(avgdl, DataFrame) else met.withColumn("avgdl", F.lit(avgdl))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return post.join(weighted, "term").join(avgdl).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, group: list[str], score: str = "score") -> DataFrame:

@@ -116,10 +116,9 @@ def answer_all(questions: DataFrame, docs: DataFrame, providers: Providers | Non
     the state is written to the shared folder after each.
     """
     p = providers or Providers()
-    post = materialise(lexical.postings(docs), "postings")
+    docs = materialise(docs, "corpus")
     stats = lexical.corpus_stats(docs)
-    idf = materialise(lexical.term_stats(post, stats), "terms")
-    avgdl = stats.first()["avgdl"] or 1.0
+    index = (materialise(lexical.term_stats(lexical.postings(docs), stats), "terms"), stats.first()["avgdl"] or 1.0)
     no_evidence = F.expr("CAST(array() AS array<struct<chunk_id:string,text:string>>)")
     state = questions.select(
         "query_id", "question", F.slice(p.decompose(F.col("question")), 1, MAX_HOPS).alias("subs"), F.lit(0).alias("hop"), F.lit(0).alias("retry")
@@ -129,8 +128,7 @@ def answer_all(questions: DataFrame, docs: DataFrame, providers: Providers | Non
         running = state.filter(F.col("step") == "retrieve")
         if running.isEmpty():
             break
-        scores = lexical.scores_of(running.select("query_id", F.col("active").alias("query")), post, idf, avgdl)
-        hits = lexical.top_k(scores, GRADED, ["query_id"])
+        hits = lexical.best_matches(running.select("query_id", F.col("active").alias("query")), docs, GRADED, index)
         seen = hits.join(docs.select("chunk_id", "text", "indexed", "section", "fiscal_year"), "chunk_id").join(
             running.select("query_id", "active", "retry"), "query_id"
         )

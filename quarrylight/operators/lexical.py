@@ -1,7 +1,19 @@
-"""BM25 over chunks as joins: postings, corpus statistics, scores, filters and relaxation."""
+"""BM25 over chunks: corpus statistics, best matches, filters and relaxation.
+
+Statistics come from one aggregation over all postings.  A stated set of
+queries is then searched in blocks: the block's term weights, a matrix of
+bounded size, go to the tasks, every task scores its chunks against all queries
+of the block and keeps its own best, so only those are shuffled.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +21,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import text as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # Okapi parameters
+BLOCK = 1024  # queries searched at once: some 1000 x 10,000 weights, 80 MB
 
 
 def corpus(chunks: DataFrame) -> DataFrame:
@@ -44,26 +57,70 @@ def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.join(mean).select("term", "df", idf.alias("idf"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(query_id, chunk_id, score)`` of every chunk that shares a term with a query.
-
-    ``queries`` has ``query_id`` and ``query``; a term repeated in the query
-    counts each time.
-    """
-    post, stats = postings(docs), corpus_stats(docs)
-    return scores_of(queries, post, term_stats(post, stats), F.broadcast(stats.select("avgdl")))  # one row
-
-
-def scores_of(queries: DataFrame, post: DataFrame, idf: DataFrame, avgdl: DataFrame | float) -> DataFrame:
-    """The same over a ready index: postings, term statistics and the mean length."""
+def query_weights(queries: DataFrame, idf: DataFrame) -> DataFrame:
+    """``(query_id, term, weight)``: a term repeated in the query counts each time."""
     asked = queries.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(
         F.count(F.lit(1)).alias("qtf")
     )
-    met = post.join(asked.join(idf, "term"), "term")
-    met = met.join(avgdl) if isinstance(avgdl, DataFrame) else met.withColumn("avgdl", F.lit(avgdl))
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return asked.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+
+
+def best_matches(queries: DataFrame, docs: DataFrame, k: int, index: tuple[DataFrame, float] | None = None) -> DataFrame:
+    """``(query_id, chunk_id, score, rank)``: the k best chunks that share a term with each query.
+
+    ``queries`` has ``query_id`` and ``query``; ties go to the smaller chunk
+    id.  ``index`` holds ready term statistics and the mean length.
+    """
+    if index is None:
+        stats = corpus_stats(docs)
+        index = (term_stats(postings(docs), stats), stats.first()["avgdl"] or 1.0)
+    idf, avgdl = index
+    kind = queries.schema["query_id"].dataType.simpleString()
+    blocks = max(1, -(-queries.count() // BLOCK))
+    weights = query_weights(queries, idf)
+    parts = []
+    for b in range(blocks):
+        held = weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        ids = sorted(set(held.column("query_id").to_pylist()))
+        vocabulary = {t: i for i, t in enumerate(sorted(set(held.column("term").to_pylist())))}
+        place = {q: i for i, q in enumerate(ids)}
+        matrix = np.zeros((len(vocabulary), len(ids)))
+        rows = [vocabulary[t] for t in held.column("term").to_pylist()]
+        matrix[rows, [place[q] for q in held.column("query_id").to_pylist()]] = held.column("weight").to_numpy()
+        shared = queries.sparkSession.sparkContext.broadcast((vocabulary, matrix, pa.array(ids, held.schema.field("query_id").type)))
+        search = docs.select("chunk_id", "indexed").mapInArrow(block_search(shared, k, avgdl), f"query_id {kind}, chunk_id string, score double")
+        parts.append(search)
+    return top_k(reduce(DataFrame.unionByName, parts), k, ["query_id"])
+
+
+def block_search(shared, k: int, avgdl: float, slice_: int = 1000):
+    """The task that scores its chunks against a block of queries and keeps the best of each."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, matrix, ids = shared.value
+        find, dashes = re.compile(T.TERM).findall, str.maketrans("−–", "--")
+        if not len(ids):
+            return
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for start in range(0, len(texts), slice_):
+                part = texts[start : start + slice_]
+                score = np.zeros((len(part), len(ids)))
+                for row, text in enumerate(part):
+                    terms = find(text.lower().replace("ß", "ss").translate(dashes))
+                    known = [vocabulary[t] for t in terms if t in vocabulary]
+                    if known:
+                        column, tf = np.unique(known, return_counts=True)
+                        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(terms) / avgdl))
+                        score[row] = impact @ matrix[column]
+                rounded = score.round(9)
+                keep = min(k, len(part))
+                least = -np.partition(-rounded, keep - 1, axis=0)[keep - 1]
+                row, query = np.nonzero((rounded >= least) & (score != 0))  # ties stay for the final ranking
+                chunk = batch.column(0).take(pa.array(row + start))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), chunk, pa.array(score[row, query])], ["query_id", "chunk_id", "score"])
+
+    return search
 
 
 def top_k(scores: DataFrame, k: int, group: list[str], score: str = "score") -> DataFrame:
@@ -116,7 +173,9 @@ def relaxed_top_k(queries: DataFrame, docs: DataFrame, filters: DataFrame, k: in
     chunks without a matching term take part with score 0, so that k are given
     where there are k.  Queries without a filter have all chunks that match.
     """
-    scores = bm25_scores(queries, docs)
+    stats = corpus_stats(docs)
+    post = postings(docs)
+    weights = query_weights(queries, term_stats(post, stats))
     placed = docs.select("chunk_id", F.lower("company").alias("lc"), F.col("fiscal_year").alias("fy"))
     f = filters.select("query_id", F.lower("company").alias("company"), "fiscal_year")
     by_company = f.filter(F.col("company").isNotNull()).join(placed, F.col("company") == F.col("lc"))
@@ -128,6 +187,11 @@ def relaxed_top_k(queries: DataFrame, docs: DataFrame, filters: DataFrame, k: in
     lowest = lowest.withColumn("least", F.min("tier").over(W.partitionBy("query_id")))
     # in tier 1 all chunks of the company take part; tier 0 is a part of it
     eligible = lowest.filter(F.col("tier") == F.col("least")).select("query_id", "chunk_id", "tier")
-    held = eligible.join(scores, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    free = scores.join(eligible.select("query_id").distinct(), "query_id", "left_anti").withColumn("tier", F.lit(2))
-    return top_k(held.unionByName(free), k, ["query_id"])
+    tf, dl = F.col("tf"), F.col("dl")
+    part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+    met = eligible.join(post, "chunk_id").join(weights, ["query_id", "term"]).join(F.broadcast(stats.select("avgdl")))  # one row
+    scores = met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    held = top_k(eligible.join(scores, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))), k, ["query_id"])
+    rest = queries.join(eligible.select("query_id").distinct(), "query_id", "left_anti")
+    free = best_matches(rest, docs, k).withColumn("tier", F.lit(2))
+    return held.unionByName(free)

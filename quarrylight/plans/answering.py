@@ -14,7 +14,7 @@ from quarrylight.plans import retrieval
 def graded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 8 lexical hits of each question with the offline grader's verdict."""
     q, d = retrieval.questions(spark, sf_dir), retrieval.docs(spark, sf_dir)
-    hits = lexical.top_k(lexical.bm25_scores(q, d), corrective.GRADED, ["query_id"])
+    hits = lexical.best_matches(q, d, corrective.GRADED)
     seen = hits.join(d.select("chunk_id", "indexed"), "chunk_id").join(q, "query_id")
     score = F.round(corrective.overlap(F.col("question"), F.substring("indexed", 1, 2000)), 6)
     return seen.select("query_id", "chunk_id", "rank", score.alias("score"), corrective.verdict(score).alias("verdict"))
@@ -52,7 +52,7 @@ def corrective_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plain_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single pass: the best lexical hit of each question, its first 200 characters as the answer."""
     q, d = retrieval.questions(spark, sf_dir), retrieval.docs(spark, sf_dir)
-    best = lexical.top_k(lexical.bm25_scores(q, d), 1, ["query_id"]).join(d.select("chunk_id", "text"), "chunk_id")
+    best = lexical.best_matches(q, d, 1).join(d.select("chunk_id", "text"), "chunk_id")
     known = q.select("query_id").join(best, "query_id", "left")
     some = F.length(F.coalesce("text", F.lit(""))) > 0
     return known.select(
@@ -79,7 +79,7 @@ SQL = {
         t AS (SELECT query_id, count(*) AS n_items FROM i GROUP BY 1),
         f AS (SELECT m.query_id, m.pos, m.chunk_id, coalesce(named, CASE WHEN met = 0 AND n = n_items THEN i.v END) AS v
             FROM m LEFT JOIN t USING (query_id) LEFT JOIN i ON i.query_id = m.query_id AND i.pos = m.pos)
-        SELECT query_id, pos, chunk_id, coalesce(v, 'ambiguous') AS verdict, CASE WHEN v IS NULL THEN 0.5 ELSE 0.9 END AS score FROM f""",
+        SELECT query_id, pos, chunk_id, coalesce(v, 'ambiguous') AS verdict, CAST(CASE WHEN v IS NULL THEN 0.5 ELSE 0.9 END AS DOUBLE) AS score FROM f""",
     "route_decisions": f"""WITH {_S}, t AS (SELECT sample_id, coalesce(len(citations), 0) AS a, coalesce(retry_count, 0) AS r, coalesce(len(contexts), 0) AS e, sample_id % 2 AS hop FROM s)
         SELECT sample_id, CASE WHEN a = 0 AND r < {corrective.MAX_RETRIES} THEN 'rewrite' WHEN a = 0 AND e = 0 THEN 'aggregate'
             WHEN hop + 1 < {corrective.MAX_HOPS} THEN 'advance' ELSE 'aggregate' END AS next_step FROM t""",

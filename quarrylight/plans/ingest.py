@@ -270,3 +270,15 @@ QUERIES = {
         inferred_sections, normalized_numbers, calc_dispatch, yearly_change, margins, event_windows, event_json,
     )
 }
+
+
+def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filings' pages chunked again, with carried sections and ids."""
+    from quarrylight.operators import chunking
+
+    pages = page_texts(spark, sf_dir)
+    placed = pages.join(filings.page_headings(pages).select("doc_id", "page", "section"), ["doc_id", "page"])
+    return chunking.chunk_pages(placed.withColumn("tables", F.lit(None).cast("array<string>")))
+
+
+QUERIES["recursive_chunks"] = recursive_chunks

@@ -72,8 +72,7 @@ def _shown(hits: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = lexical.bm25_scores(questions(spark, sf_dir), docs(spark, sf_dir))
-    return _shown(lexical.top_k(scores, 10, ["query_id"]))
+    return _shown(lexical.best_matches(questions(spark, sf_dir), docs(spark, sf_dir), 10))
 
 
 def bm25_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +116,7 @@ def candidate_lists(q: DataFrame, d: DataFrame, vectors: DataFrame) -> DataFrame
     forms = variant_lists(q)
     keyed = forms.select(F.struct("query_id", "list_no").alias("key"), "query")
     asked = keyed.select(F.concat_ws("\x1f", "key.query_id", F.col("key.list_no").cast("string")).alias("query_id"), "query")
-    hits = lexical.top_k(lexical.bm25_scores(asked, d), DEPTH, ["query_id"])
+    hits = lexical.best_matches(asked, d, DEPTH)
     named = hits.select(
         F.substring_index("query_id", "\x1f", 1).alias("query_id"),
         F.substring_index("query_id", "\x1f", -1).cast("int").alias("list_no"),

@@ -9,8 +9,9 @@ they are found by how strongly their terms reveal persons in this corpus:
 2. Protected evidence for a mention is an honorific or a signature mark before
    it, or a mail address made of the same term.  Corpus co-occurrence counts,
    per term and place, how often it is mentioned and how often with evidence.
-   A term's *disclosure* is the information in bits, log2 of P(person | term)
-   over P(person); counts are shrunk towards the corpus rate.
+   A term's *disclosure* is the information it gives, log2 of P(person | term)
+   over P(person), as a share of all there is to learn, log2 of 1 / P(person);
+   counts are shrunk towards the corpus rate.
 3. Given names are the leading terms whose disclosure exceeds the threshold.
    They are evidence for the terms they stand with, so a second count gives
    the disclosure of family names.
@@ -22,6 +23,7 @@ and no table of terms is held by the driver or sent to all executors by force.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -247,20 +249,20 @@ def scan(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def disclosure(found: DataFrame, term: str, evidence: F.Column, shrink: float = 2.0) -> DataFrame:
-    """``(term, bits)``: how much each term reveals that a person is meant.
+    """``(term, share)``: how much each term reveals that a person is meant, at most 1.
 
     ``found`` has one row per occurrence of a term, ``evidence`` says whether it
-    stands with protected evidence.  Bits are log2 of the term's share with
-    evidence, shrunk by ``shrink`` occurrences at the corpus rate, over that rate.
+    stands with protected evidence.  A term's share with evidence is shrunk by
+    ``shrink`` occurrences at the corpus rate.
     """
     total = found.agg(F.avg(evidence.cast("double")).alias("rate")).first()["rate"]
-    rate = max(total or 0.0, 1e-9)
+    rate = min(max(total or 0.0, 1e-9), 0.999)
     counts = found.groupBy(term).agg(F.count(F.lit(1)).alias("n"), F.sum(evidence.cast("long")).alias("c"))
     bits = F.log2((F.col("c") + shrink * rate) / (F.col("n") + shrink) / rate)
-    return counts.select(F.col(term).alias("term"), bits.alias("bits"))
+    return counts.select(F.col(term).alias("term"), (bits / -math.log2(rate)).alias("share"))
 
 
-def personal_spans(rows: DataFrame, key: str = "doc_id", text: str = "text", least_bits: float = 3.0) -> DataFrame:
+def personal_spans(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.4) -> DataFrame:
     """``(id, kind, start, end)`` of all personal information, by place.
 
     Kinds are email, phone, id_number, address and name; positions count
@@ -275,12 +277,12 @@ def personal_spans(rows: DataFrame, key: str = "doc_id", text: str = "text", lea
     mailed = mail.select("term", F.lit(True).alias("cue"))
 
     leading = pairs.filter(F.col("form") != "initial").select(F.col("given").alias("term"), "cue").unionByName(mailed)
-    given = disclosure(leading, "term", F.col("cue")).filter(F.col("bits") >= least_bits)
+    given = disclosure(leading, "term", F.col("cue")).filter(F.col("share") >= threshold)
     known = pairs.join(given.select(F.col("term").alias("given"), F.lit(True).alias("is_given")), "given", "left").withColumn(
         "is_given", F.coalesce("is_given", F.lit(False))
     )
     trailing = known.select(F.col("family").alias("term"), (F.col("cue") | F.col("is_given")).alias("cue")).unionByName(mailed)
-    family = disclosure(trailing, "term", F.col("cue")).filter(F.col("bits") >= least_bits)
+    family = disclosure(trailing, "term", F.col("cue")).filter(F.col("share") >= threshold)
     likely = known.filter(F.col("is_given") | (F.col("form") == "initial"))
     named = likely.join(family.select(F.col("term").alias("family")), "family", "left_semi")
     # of overlapping mentions ("A B, C D") the first is the name

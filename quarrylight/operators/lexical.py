@@ -86,7 +86,7 @@ def best_matches(queries: DataFrame, docs: DataFrame, k: int, index: tuple[DataF
         place = {q: i for i, q in enumerate(ids)}
         matrix = np.zeros((len(vocabulary), len(ids)))
         rows = [vocabulary[t] for t in held.column("term").to_pylist()]
-        matrix[rows, [place[q] for q in held.column("query_id").to_pylist()]] = held.column("weight").to_numpy()
+        matrix[rows, [place[q] for q in held.column("query_id").to_pylist()]] = [w or 1e-300 for w in held.column("weight").to_pylist()]  # a term of weight 0 still matches
         shared = queries.sparkSession.sparkContext.broadcast((vocabulary, matrix, pa.array(ids, held.schema.field("query_id").type)))
         search = docs.select("chunk_id", "indexed").mapInArrow(block_search(shared, k, avgdl), f"query_id {kind}, chunk_id string, score double")
         parts.append(search)

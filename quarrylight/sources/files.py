@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-DOCUMENT = S.StructType().add("doc_id", "string").add("doc_name", "string").add("company", "string").add("ticker", "string").add(
-    "doc_type", "string").add("document_type", "string").add("fiscal_year", "string").add("doc_period", "string").add("year", "string").add(
-    "source_path", "string").add("source_url", "string").add("doc_link", "string").add("url", "string").add("num_pages", "int")
-QUESTION = S.StructType.fromDDL(
+DOCUMENT = (
+    "doc_id string, doc_name string, company string, ticker string, doc_type string, document_type string, fiscal_year string, "
+    "doc_period string, year string, source_path string, source_url string, doc_link string, url string, num_pages int"
+)
+QUESTION = (
     "financebench_id string, question_id string, company string, doc_name string, question_type string, question string, answer string, "
     "justification string, evidence array<struct<doc_name:string,evidence_page_num:string,evidence_text:string>>"
 )
+PAGE = "page int, text string, tables array<string>"
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: S.StructType) -> tuple[DataFrame, DataFrame]:
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good rows and rejected lines of a JSON lines file; blank lines are skipped."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    full = S.StructType(schema.fields + [S.StructField("_corrupt_record", S.StringType())])
+    full = f"{schema}, _corrupt_record string"
     parsed = lines.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     good = parsed.filter(F.col("r._corrupt_record").isNull() & F.startswith(F.ltrim("value"), F.lit("{")))
     bad = parsed.filter(F.col("r._corrupt_record").isNotNull() | ~F.startswith(F.ltrim("value"), F.lit("{")))
@@ -59,36 +64,37 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_pages(spark: SparkSession, path: str, parse, schema: str = "page int, text string, tables array<string>") -> DataFrame:
-    """Pages of binary documents by a pluggable ``parse(bytes) -> list of page tuples``.
+def read_pages(spark: SparkSession, path: str, parse) -> DataFrame:
+    """Pages of binary documents by a pluggable ``parse(bytes) -> [(page, text, tables), ...]``.
 
     A document that cannot be parsed gives one row with the ``error``.
     """
-    import pyarrow as pa
-
-    fields = S.StructType.fromDDL(schema)
-    out = f"path string, error string, {schema}"
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema({"path": pa.string(), "error": pa.string(), "page": pa.int32(), "text": pa.string(), "tables": pa.list_(pa.string())})
         for batch in batches:
             rows = []
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    rows += [{"path": name, "error": None, **dict(zip(fields.names, page))} for page in parse(content)]
+                    rows += [{"path": name, "page": n, "text": text, "tables": tables} for n, text, tables in parse(content)]
                 except Exception as problem:  # noqa: BLE001 - errors are data
-                    rows.append({"path": name, "error": str(problem), **dict.fromkeys(fields.names)})
+                    rows.append({"path": name, "error": str(problem)})
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("error", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("tables", pa.list_(pa.string()))]))
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, out)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"path string, error string, {PAGE}")
 
 
 def write_report(samples: DataFrame, folder: str) -> None:
     """The samples as JSON and, flat and rounded, as CSV with a header."""
     samples.write.mode("overwrite").json(f"{folder}/samples.json")
-    flat = [F.col(f.name) for f in samples.schema if not isinstance(f.dataType, (S.ArrayType, S.MapType, S.StructType))]
-    rounded = [F.round(c, 4).alias(f) if isinstance(samples.schema[f].dataType, S.DoubleType) else c for c, f in zip(flat, [f.name for f in samples.schema if not isinstance(f.dataType, (S.ArrayType, S.MapType, S.StructType))])]
-    samples.select(*rounded).write.mode("overwrite").option("header", True).csv(f"{folder}/samples.csv")
+    flat = []
+    for field in samples.schema:
+        if isinstance(field.dataType, S.DoubleType):
+            flat.append(F.round(field.name, 4).alias(field.name))
+        elif not isinstance(field.dataType, (S.ArrayType, S.MapType, S.StructType)):
+            flat.append(F.col(field.name))
+    samples.select(*flat).write.mode("overwrite").option("header", True).csv(f"{folder}/samples.csv")
 
 
 def read_report(spark: SparkSession, folder: str, schema: S.StructType) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import encode, leakage, near_dup, pairs, pii, splitting, vectors
+from quarrylight.llm import encode, groups, leakage, near_dup, pairs, pii, splitting, vectors
 from quarrylight.session import table
 
 
@@ -30,6 +30,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each chunk and the number of its near-duplicates."""
+    found = groups.similar_groups(table(spark, sf_dir, "chunks"), "chunk_id", "text", n=3, threshold=0.6, min_tokens=20)
+    return found.select(F.col("id").alias("chunk_id"), "group_id", "links")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples that claim an answer and have a defect."""
     return pairs.defective_pairs(table(spark, sf_dir, "eval_samples")).select(F.col("id").alias("sample_id"), "defect")
@@ -93,4 +99,4 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p4_found, p5_found, p5_pieces, p6_ids, p6_tokens, p7_found, p7_spans, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_groups, p4_found, p5_found, p5_pieces, p6_ids, p6_tokens, p7_found, p7_spans, p8_found, p8_redacted)}

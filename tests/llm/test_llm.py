@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.llm import blocks, encode, leakage, near_dup, pairs, pii, splitting, vectors
+from quarrylight.llm import blocks, encode, groups, leakage, near_dup, pairs, pii, splitting, vectors
 
 SF = "/root/testdata/sf0.001"
 TOKENS = re.compile("[a-z0-9]+")
@@ -47,6 +47,24 @@ def test_similar_pairs_against_all_pairs(spark, similar_texts):
     assert near_dup.similar_pairs(rows.limit(0), "k", "text", 3, 0.6, 20).count() == 0
 
 
+def test_groups_against_union_find(spark, similar_texts):
+    rows = spark.createDataFrame(similar_texts, "k string, text string")
+    found = {tuple(r) for r in near_dup.similar_pairs(rows, "k", "text", 3, 0.6, 20).collect()}
+    root = {k: k for k, t in similar_texts if k and t and grams(t, 3)[1] >= 20}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in sorted(found):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r.id: (r.group_id, r.links) for r in groups.similar_groups(rows, "k", "text", 3, 0.6, 20).collect()}
+    assert got == {k: (find(k), sum(k in p for p in found)) for k in root}
+    assert groups.similar_groups(rows.limit(0), "k", "text", 3, 0.6, 20).count() == 0
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)], "a long, b long")
+    assert {tuple(r) for r in groups.components(chain).collect()} == {(i, 0) for i in range(101)} | {(500, 500), (501, 500)}
+
+
 def test_hot_buckets_are_split_and_whole(spark, similar_texts):
     rows = spark.createDataFrame(similar_texts, "k string, text string")
     wide = {tuple(r)[:2] for r in near_dup.similar_classes(rows, "text", 3, 0.6, 20).collect()}

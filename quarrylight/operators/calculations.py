@@ -31,6 +31,20 @@ def raw_result(operation: Column, a: Column, b: Column) -> Column:
     )
 
 
+def formula(operation: Column, a: Column, b: Column) -> Column:
+    """The calculation written out; null where ``raw_result`` has none."""
+    x, y = a.cast("string"), b.cast("string")
+    quotient = F.concat(F.lit("("), x, F.lit(") / ("), y, F.lit(")"))
+    written = (
+        F.when(operation == "percentage_change", F.concat(F.lit("("), x, F.lit(" - "), y, F.lit(") / |"), y, F.lit("| * 100")))
+        .when(operation == "absolute_change", F.concat(x, F.lit(" - "), y))
+        .when(operation == "gross_margin", F.concat(F.lit("("), x, F.lit(" - "), y, F.lit(") / "), x, F.lit(" * 100")))
+        .when(operation == "ratio", quotient)
+        .otherwise(F.concat(quotient, F.lit(" * 100")))
+    )
+    return F.when(raw_result(operation, a, b).isNotNull(), written)
+
+
 def python_round(rows: DataFrame, value: str, places: str, out: str) -> DataFrame:
     """Adds ``out``: the value rounded as a binary number, halves to even.
 
@@ -49,7 +63,7 @@ def python_round(rows: DataFrame, value: str, places: str, out: str) -> DataFram
 
 
 def dispatch(plans: DataFrame) -> DataFrame:
-    """``(plan_id, operation, raw, result, status)`` of plan rows ``(plan_id, operation, a, b)``.
+    """``(plan_id, operation, formula, raw, result, status)`` of plan rows ``(plan_id, operation, a, b)``.
 
     ``status`` keeps why a row has no result: unknown operation, missing
     argument or division by zero.
@@ -64,8 +78,9 @@ def dispatch(plans: DataFrame) -> DataFrame:
     places = F.create_map(*[F.lit(x) for kv in PLACES.items() for x in kv])
     judged = plans.select("plan_id", "operation", "a", "b").withColumn("status", status)
     judged = judged.withColumn("raw", F.when(F.col("status") == "ok", raw_result(F.col("operation"), F.col("a"), F.col("b"))))
+    judged = judged.withColumn("formula", F.when(F.col("status") == "ok", formula(F.col("operation"), F.col("a"), F.col("b"))))
     rounded = python_round(judged.withColumn("places", F.try_element_at(places, F.col("operation"))), "raw", "places", "result")
-    return rounded.select("plan_id", "operation", "raw", "result", "status")
+    return rounded.select("plan_id", "operation", "formula", "raw", "result", "status")
 
 
 def normalized_number(text: Column) -> Column:

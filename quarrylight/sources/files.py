@@ -100,3 +100,12 @@ def write_report(samples: DataFrame, folder: str) -> None:
 def read_report(spark: SparkSession, folder: str, schema: S.StructType) -> DataFrame:
     """The samples of a report written before."""
     return spark.read.schema(schema).json(f"{folder}/samples.json")
+
+
+def console_report(metrics: DataFrame) -> str:
+    """Lines ``name: value`` of a small table ``(metric, value)``, sorted by name; null reads n/a.
+
+    The table has one row per metric, so it is bounded by the number of metrics.
+    """
+    rows = metrics.orderBy("metric").collect()
+    return "\n".join(f"{r['metric']}: {'n/a' if r['value'] is None else format(r['value'], '.3f')}" for r in rows)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.operators import calculations, chunking, citations, corrective, dense, filings, fusion, lexical, metrics, units
+from quarrylight.settings import Settings
 from quarrylight.sources import files
 from quarrylight.streaming import events
 
@@ -133,6 +134,19 @@ def test_calculations(spark):
     assert got == {1: (250.0, "ok"), 2: (2.67, "ok"), 3: (None, "division by zero"), 4: (None, "unknown operation"), 5: (None, "missing argument"), 6: (60.0, "ok")}
 
 
+def test_formula_answer_settings_report(spark, monkeypatch):
+    row = calculations.dispatch(spark.createDataFrame([(1, "absolute_change", 3.0, 1.5)], "plan_id int, operation string, a double, b double")).first()
+    assert row.formula == "3.0 - 1.5"
+    cases = {"<|channel|>analysis<|message|>x": "", "a<|channel|>final<|message|> b <|return|>c": "b", "<think>x\ny</think> z": "z", "p<|im_end|>": "p"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.cleaned_answer(F.col("t")).alias("c"))
+    assert {r.t: r.c for r in rows.collect()} == cases
+    monkeypatch.setenv("QUARRY_MAX_HOPS", "3")
+    assert Settings.from_environment().max_hops == 3
+    with pytest.raises(ValueError):
+        Settings(chunk_size=10, chunk_overlap=10)
+    assert files.console_report(spark.createDataFrame([("b", 0.5), ("a", None)], "metric string, value double")) == "a: n/a\nb: 0.500"
+
+
 def test_number_normalisation(spark):
     cases = {"(1,234)": (-1234.0, ""), "$5.2 million": (5.2, "USD millions"), "12%": (12.0, "percentage"), "—": (None, ""), "N/A": (None, ""), "3 billion USD": (3.0, "USD billions"), "text": (None, "")}
     rows = spark.createDataFrame([(k,) for k in cases], "source string").select("source", calculations.normalized_number(F.col("source")).alias("n"))

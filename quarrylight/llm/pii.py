@@ -101,9 +101,10 @@ ADDRESS_END = re.compile(rf"(?:{_ends})\ \d{{1,5}}[a-z]?\b")
 FLAT_BEFORE = re.compile(r"(?:Flat|Apt\.?|Apartment|Unit) \d{1,4}[A-Za-z]?, \Z")
 WORD_BEFORE = re.compile(r"[A-ZÄÖÜ]\w*\Z")
 
-TERM = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+#: Names longer than these bounds do not occur; without bounds long runs of letters would cost their square.
+TERM = r"[^\W\d_]{1,40}(?:[-'’][^\W\d_]{1,40}){0,3}"
 NAME = re.compile(
-    rf"(?=(?P<a>[A-ZÀ-ÖØ-Þ](?:\.|{TERM}|(?=\ )))(?P<sep>,?[\ \n])(?:(?P<mid>[A-ZÀ-ÖØ-Þ]\.)[\ \n])?(?P<b>[A-ZÀ-ÖØ-Þ](?:\.|{TERM})))"
+    rf"(?<![\w@'’-])(?=(?P<a>[A-ZÀ-ÖØ-Þ](?:\.|{TERM}))(?P<sep>,?[\ \n])(?:(?P<mid>[A-ZÀ-ÖØ-Þ]\.)[\ \n])?(?P<b>[A-ZÀ-ÖØ-Þ]{TERM})(?!\w))"
 )
 CUE = re.compile(r"(?:\b(?:" + "|".join(HONORIFICS) + r")\.?|\bM\.|/s/)\s$")
 
@@ -143,20 +144,25 @@ def identifiers(text: str) -> list[tuple[int, int, str]]:
     telephone number and street address wins.
     """
     taken: list[tuple[int, int, str]] = []
+    used = bytearray(len(text))  # marks the characters taken, so that long texts with many places stay cheap
 
     def free(start: int, end: int) -> bool:
-        return all(end <= s or start >= e for s, e, _ in taken)
+        return used.find(1, start, end) < 0
+
+    def take(start: int, end: int, kind: str) -> None:
+        used[start:end] = b"\1" * (end - start)
+        taken.append((start, end, kind))
 
     def loose(start: int, end: int) -> bool:
         """Not a part of a longer number, word or amount."""
         before, after = text[max(0, start - 2) : start], text[end : end + 2]
         if before and (before[-1].isalnum() or before[-1] in "$€£#_/@" or (before[-1] in ".,-" and before[:1].isdigit())):
             return False
-        return not (after[:1].isalnum() or after[:1] in "_%" or (after[:1] in ".,-/" and after[1:].isdigit()))
+        return not (after[:1].isalnum() or after[:1] in ("_", "%") or (after[:1] in ".,-/" and after[1:].isdigit()))
 
     for s, e in mail_addresses(text):
         if free(s, e):
-            taken.append((s, e, "email"))
+            take(s, e, "email")
     for m in ID_CORE.finditer(text):
         prefix = ID_PREFIX.search(text[max(0, m.start() - 4) : m.start()])
         start = m.start() - (len(prefix.group()) if prefix else 0)
@@ -171,18 +177,18 @@ def identifiers(text: str) -> list[tuple[int, int, str]]:
         digits = sum(map(str.isdigit, text[start:end]))
         bare = ID_BARE.match(text[start:end]) and loose(start, end)
         if digits >= 6 and (labelled or bare) and free(start, end):
-            taken.append((start, end, "id_number"))
+            take(start, end, "id_number")
     for m in PHONE.finditer(text):
         start, end = m.span()
         while end and not loose(start, end):  # leave out trailing groups that belong to what follows
             end = max(text.rfind(" ", start, end), 0)
         digits = sum(c.isdigit() for c in text[start:end].split("ext")[0])
         if 7 <= digits <= 15 and free(start, end):
-            taken.append((start, end, "phone"))
+            take(start, end, "phone")
     for s, e in addresses(text):
         before = text[s - 1 : s]
         if not (before.isalnum() or before in set("$€£.,")) and free(s, e):
-            taken.append((s, e, "address"))
+            take(s, e, "address")
     return sorted(taken)
 
 
@@ -193,13 +199,14 @@ def mentions(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, in
     always the given name).
     """
     out = []
+    used = bytearray(len(text))
+    for s, e, _ in taken:
+        used[s:e] = b"\1" * (e - s)
     for m in NAME.finditer(text):
         start = m.start()
-        if start and (text[start - 1].isalnum() or text[start - 1] in "_@"):
-            continue
         a, b, sep = m["a"], m["b"], m["sep"]
         end = m.end("b")
-        if b.endswith(".") or any(s < end and start < e for s, e, _ in taken):
+        if used.find(1, start, end) >= 0:
             continue
         if len(a) < 2 or len(b) < 2:
             continue

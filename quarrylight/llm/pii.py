@@ -103,8 +103,8 @@ WORD_BEFORE = re.compile(r"[A-ZÄÖÜ]\w*\Z")
 
 #: Names longer than these bounds do not occur; without bounds long runs of letters would cost their square.
 TERM = r"[^\W\d_]{1,40}(?:[-'’][^\W\d_]{1,40}){0,3}"
-NAME = re.compile(
-    rf"(?<![\w@'’-])(?=(?P<a>[A-ZÀ-ÖØ-Þ](?:\.|{TERM}))(?P<sep>,?[\ \n])(?:(?P<mid>[A-ZÀ-ÖØ-Þ]\.)[\ \n])?(?P<b>[A-ZÀ-ÖØ-Þ]{TERM})(?!\w))"
+NAME = re.compile(  # one capital, then by looking ahead the rest of both terms, so that mentions may overlap
+    rf"(?P<i>[A-ZÀ-ÖØ-Þ])(?<![\w@'’-].)(?=(?P<a>\.|{TERM})(?P<sep>,?[\ \n])(?:(?P<mid>[A-ZÀ-ÖØ-Þ]\.)[\ \n])?(?P<b>[A-ZÀ-ÖØ-Þ]{TERM})(?!\w))"
 )
 CUE = re.compile(r"(?:\b(?:" + "|".join(HONORIFICS) + r")\.?|\bM\.|/s/)\s$")
 
@@ -204,7 +204,7 @@ def mentions(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, in
         used[s:e] = b"\1" * (e - s)
     for m in NAME.finditer(text):
         start = m.start()
-        a, b, sep = m["a"], m["b"], m["sep"]
+        a, b, sep = m["i"] + m["a"], m["b"], m["sep"]
         end = m.end("b")
         if used.find(1, start, end) >= 0:
             continue

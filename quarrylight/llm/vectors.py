@@ -11,11 +11,13 @@ Plan
 3. It is posted in inverted files, each for a pair of its ``post`` nearest
    pivots (see ``pivot_pairs``).  The number of pivots grows with the square root of the number of
    vectors, so the files keep their size as the data grow.
-4. Inside a file every two vectors are compared by the footrule distance of
-   their permutations; pairs up to ``max_footrule`` are ranked by it and the
-   ``candidates`` best of each vector are scored with the 8-bit vectors that
-   the postings carry.
-5. The best of those are reranked with the full vectors and reduced to k.
+4. Inside a file every two vectors (up to ``max_footrule`` apart, if that is
+   given) are scored with the 8-bit vectors that the postings carry.  Rounding
+   moves a vector by a known length at most, so a score is an interval of
+   distances.
+5. A pair goes on unless k others of both its vectors are surely nearer; those
+   that do are reranked with the full vectors and reduced to k.  So only the
+   choice of files loses neighbours, never the scores.
 
 Files of any size are handled in bounded units (see ``blocks``).
 """
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from quarrylight.llm.blocks import binary_rows, bucket_units, fixed_bytes, one_per, ragged_pairs, unit_starts, whole_units
 
 SCALE = 32767  # vectors are held in 16-bit fixed point: similarities are right to about 1e-5
+STEPS = 15000  # to a unit of distance in the bounds of pairs, two bytes each
 MAX_PIVOTS = 4096  # bound of the sample that the driver holds (1 MB at width 64)
 
 
@@ -107,14 +110,25 @@ def postings(classes: DataFrame, pivots: np.ndarray, width: int, prefix: int, po
             top = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix]
             order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
             perm = np.take_along_axis(top, order, 1).astype(np.uint16)
-            q = np.clip(np.rint(matrix * 127), -127, 127).astype(np.int8)
-            perms, qs = binary_rows(perm), binary_rows(q)
+            perms, qs = binary_rows(perm), binary_rows(coarse(matrix))
             for key in file_keys(perm, post, m).T:
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), perms, qs], ["key", "class", "perm", "q"])
 
     return classes.mapInArrow(rows, "key long, class long, perm binary, q binary")
 
 
+def coarse(matrix: np.ndarray) -> np.ndarray:
+    """The directions of vectors in 8 bits, the largest element being 127."""
+    return np.rint(matrix * (127 / np.abs(matrix).max(1, keepdims=True))).astype(np.int8)
+
+
+def coarse_lengths(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length of 8-bit vectors and the distance at most between the unit vectors before and after rounding."""
+    length = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+    sine = np.minimum(0.5 * np.sqrt(q.shape[1]) / length, 1.0)  # each element is rounded by half a step at most
+    return length, np.sqrt(2 - 2 * np.sqrt(1 - sine**2)) + 1e-6
+
+
 def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Footrule distance of permutation prefixes, a missing pivot ranking last."""
     t = a.shape[1]
@@ -125,32 +139,26 @@ def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return t * (t + 1) - 2 * shared
 
 
+def within_reach(owner: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the intervals that begin before k of their owner have surely ended."""
+    order = np.lexsort((high, owner))
+    ordered = owner[order]
+    start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    size = np.diff(np.append(start, len(order)))
+    bound = high[order[start + np.minimum(size, k) - 1]]
+    mask = np.zeros(len(order), bool)
+    mask[order] = low[order] <= np.repeat(bound, size)
+    return mask
+
+
 def file_pairs(
-    posted: DataFrame,
-    width: int,
-    prefix: int,
-    post: int,
-    m: int,
-    candidates: int,
-    keep: int,
-    max_footrule: int,
-    least: float | None,
-    block: int,
+    posted: DataFrame, width: int, prefix: int, post: int, m: int, k: int, max_footrule: int | None, least: float | None, block: int
 ) -> DataFrame:
-    """``(a, b, score)`` with a < b: the pairs of each file that are worth reranking.
+    """``(a, b, low, high)`` with a < b: the pairs of each file that are worth reranking, and bounds of their distance.
 
     A pair is given by the first of the files that it shares, so only once.
     """
-
-    def best(owner: np.ndarray, value: np.ndarray, count: int) -> np.ndarray:
-        """Mask of the ``count`` smallest values of each owner."""
-        order = np.lexsort((value, owner))
-        sorted_owner = owner[order]
-        start = np.concatenate(([True], sorted_owner[1:] != sorted_owner[:-1]))
-        first = np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
-        mask = np.zeros(len(order), bool)
-        mask[order] = np.arange(len(order)) - first < count
-        return mask
+    farthest = None if least is None else np.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_units(batches, "key"):
@@ -158,46 +166,56 @@ def file_pairs(
             ends = np.append(starts[1:], part.num_rows)
             perm = fixed_bytes(part.column("perm"), prefix * 2).copy().view(np.uint16)
             q = fixed_bytes(part.column("q"), width).copy().view(np.int8)
+            length, moved = coarse_lengths(q)
+            files = np.sort(file_keys(perm, post, m), axis=1)
             key, classes, u, v, blk = (part.column(c).to_numpy() for c in ("key", "class", "u", "v", "blk"))
             for i, j in ragged_pairs(starts, ends):
-                far = footrule(perm[i], perm[j])
-                ok = (far <= max_footrule) & ((u[i] == v[i]) | (blk[i] != blk[j]))
-                i, j, far = i[ok], j[ok], far[ok]
+                ok = (u[i] == v[i]) | (blk[i] != blk[j])
+                i, j = i[ok], j[ok]
+                if max_footrule is not None:
+                    ok = footrule(perm[i], perm[j]) <= max_footrule
+                    i, j = i[ok], j[ok]
                 if len(i) == 0:
                     continue
-                if (ends - starts).max() > candidates:
-                    ok = best(i, far, candidates) | best(j, far, candidates)
-                    i, j = i[ok], j[ok]
-                score = np.concatenate(
+                dot = np.concatenate(
                     [
                         np.einsum("ij,ij->i", q[i[s : s + 65536]].astype(np.float32), q[j[s : s + 65536]].astype(np.float32))
                         for s in range(0, len(i), 65536)
                     ]
-                ) / np.float32(127 * 127)
-                if least is not None:
-                    ok = score >= least - 0.015
-                    i, j, score = i[ok], j[ok], score[ok]
-                shared = file_keys(perm[i], post, m)[:, :, None] == file_keys(perm[j], post, m)[:, None, :]
-                first = np.where(shared.any(2), file_keys(perm[i], post, m), m * m).min(1)
-                ok = first == key[i]
-                i, j, score = i[ok], j[ok], score[ok]
+                )  # whole numbers below 2^24, so exact
+                distance = np.sqrt(np.maximum(0.0, 2 - 2 * dot / (length[i] * length[j])))
+                error = moved[i] + moved[j]
+                low = np.floor((distance - error) * STEPS).astype(np.int16)
+                high = np.ceil((distance + error) * STEPS).astype(np.int16)
+                if farthest is not None:
+                    ok = low <= farthest * STEPS
+                    i, j, low, high = i[ok], j[ok], low[ok], high[ok]
+                # before any choice among pairs: what one file leaves out no other gives
+                first = np.ones(len(i), bool)
+                for f in files.T:  # a file named before this one by both
+                    earlier = f[i] < key[i]
+                    first &= ~(earlier & (files[j] == f[i][:, None]).any(1))
+                i, j, low, high = i[first], j[first], low[first], high[first]
                 if len(i) == 0:
                     continue
-                ok = best(i, -score, keep) | best(j, -score, keep)
+                ok = within_reach(i, low, high, k) | within_reach(j, low, high, k)
                 a, b = classes[i[ok]], classes[j[ok]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(score[ok])], ["a", "b", "score"]
+                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(low[ok]), pa.array(high[ok])], ["a", "b", "low", "high"]
                 )
 
     units = bucket_units(posted, "key", "class", block)
-    return units.mapInArrow(compare, "a long, b long, score float")
+    return units.mapInArrow(compare, "a long, b long, low short, high short")
 
 
-def best_pairs(pairs: DataFrame, count: int) -> DataFrame:
-    """The pairs ``(a, b)`` that are among the ``count`` best scores of a or of b."""
-    both = pairs.select("a", "b", "score", F.explode(F.array("a", "b")).alias("owner"))
-    place = F.row_number().over(W.partitionBy("owner").orderBy(F.desc("score"), "a", "b"))
-    return both.withColumn("place", place).filter(F.col("place") <= count).select("a", "b").distinct()
+def best_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """The pairs ``(a, b)`` of which a or b has fewer than k that are surely nearer."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("owner"), F.col("b").alias("other")), F.struct(F.col("b").alias("owner"), F.col("a").alias("other"))))
+    both = pairs.select(ends.alias("e"), "low", "high").select("e.owner", "e.other", "low", "high")  # small rows: all of them are shuffled
+    place = F.row_number().over(W.partitionBy("owner").orderBy("high"))
+    bound = F.max(F.when(F.col("place") <= k, F.col("high"))).over(W.partitionBy("owner"))
+    near = both.withColumn("place", place).withColumn("bound", bound).filter(F.col("low") <= F.col("bound"))
+    return near.select(F.least("owner", "other").alias("a"), F.greatest("owner", "other").alias("b")).distinct()
 
 
 def rerank(pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -225,7 +243,6 @@ def nearest_vectors(
     pivots: int | None = None,
     prefix: int = 6,
     post: int = 5,
-    candidates: int = 512,
     max_footrule: int | None = None,
     block: int = 2048,
 ) -> DataFrame:
@@ -245,13 +262,14 @@ def nearest_vectors(
     units = unit_vectors(vectors, key, embedding, width)
     classes = one_per(units.select("class", "vec"), "class")
     if post >= 2:
-        farthest = max_footrule if max_footrule is not None else prefix * (prefix + 1)
+        if max_footrule is None:
+            prefix = post  # the later places name no file
         posted = postings(classes, chosen, width, prefix, post)
-        pairs = file_pairs(posted, width, prefix, post, len(chosen), candidates, k + 6, farthest, min_similarity, block)
+        pairs = file_pairs(posted, width, prefix, post, len(chosen), k, max_footrule, min_similarity, block)
     else:  # fewer than two different vectors, so no pair of classes
         alone = classes.select(F.col("class").alias("a"))
-        pairs = alone.withColumn("b", F.col("a")).withColumn("score", F.lit(1.0)).limit(0)
-    exact = rerank(best_pairs(pairs, k + 6), classes, width)
+        pairs = alone.withColumn("b", F.col("a")).withColumn("low", F.lit(0)).withColumn("high", F.lit(0)).limit(0)
+    exact = rerank(best_pairs(pairs, k), classes, width)
     if min_similarity is not None:
         exact = exact.filter(F.col("similarity") >= min_similarity)
 

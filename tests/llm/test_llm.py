@@ -117,6 +117,19 @@ def test_nearest_vectors_recall(spark):
     assert len(split & want) >= 0.9 * len(want)
 
 
+def test_nearest_vectors_in_a_dense_group(spark):
+    rng = np.random.default_rng(8)
+    matrix = rng.normal(size=64) + rng.normal(size=(700, 64)) * 0.05  # closer together than 8 bits tell
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    score = unit @ unit.T
+    np.fill_diagonal(score, -1)
+    want = {(i, int(j)) for i in range(700) for j in np.argsort(-score[i])[:10]}
+    # four pivots, so that nearly all pairs share a file and only the choice inside the files counts
+    got = {(r.id, r.other) for r in vectors.nearest_vectors(df, k=10, min_similarity=0.85, pivots=4).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.995 * len(want)
+
+
 def test_defects():
     q = "What was the FY2019 net income of Acme, in USD millions?"
     cases = [

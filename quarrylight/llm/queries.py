@@ -19,8 +19,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The up to 10 nearest vectors of similarity 0.85 or more, in order, of each vector."""
-    near = vectors.nearest_vectors(table(spark, sf_dir, "chunk_vectors"), k=10, min_similarity=0.85)
+    """The 10 nearest vectors, in order, of each vector, however similar."""
+    near = vectors.nearest_vectors(table(spark, sf_dir, "chunk_vectors"), k=10, exhaustive=True)
     return near.select(F.col("id").alias("vec_id"), F.col("other").alias("neighbour_id"), "rank", F.round("similarity", 6).alias("similarity"))
 
 

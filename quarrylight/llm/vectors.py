@@ -20,11 +20,16 @@ Plan
    choice of files loses neighbours, never the scores.
 
 Files of any size are handled in bounded units (see ``blocks``).
+
+Among nearly independent vectors the nearest share a file no more often than
+others, so lists without a threshold need every pair: ``exhaustive`` compares
+all classes in rounds of bounded size, which is exact and costs the square.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,9 +39,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.llm.blocks import binary_rows, bucket_units, fixed_bytes, one_per, ragged_pairs, unit_starts, whole_units
+from quarrylight.session import materialise
 
 SCALE = 32767  # vectors are held in 16-bit fixed point: similarities are right to about 1e-5
 STEPS = 15000  # to a unit of distance in the bounds of pairs, two bytes each
+ROUND = 262_144  # classes sent to all tasks at once in an exhaustive search: 36 MB at width 64
 MAX_PIVOTS = 4096  # bound of the sample that the driver holds (1 MB at width 64)
 
 
@@ -233,6 +240,89 @@ def rerank(pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(dot, "a long, b long, similarity double")
 
 
+def all_near(classes: DataFrame, width: int, k: int, size: int) -> DataFrame:
+    """``(a, b, similarity)``: of each class a the k most similar others among each ``size`` classes, with ties, by all pairs."""
+    held = materialise(classes, "classes")
+    count = held.count()
+    rounds = max(1, -(-count // size))
+    spread = held.repartition(max(1, -(-count // 2048)), "class")
+    parts = []
+    for r in range(rounds):
+        drawn = held.filter(F.pmod(F.xxhash64("class", F.lit("round")), F.lit(rounds)) == r).toArrow()
+        other = drawn.column("class").to_numpy()
+        whole = fixed_bytes(drawn.column("vec"), width * 2).copy().view(np.int16)
+        shared = held.sparkSession.sparkContext.broadcast((other, whole))
+        parts.append(spread.mapInArrow(round_search(shared, width, k), "a long, b long, similarity double"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def round_search(shared, width: int, k: int):
+    """The task that compares its classes with those of a round."""
+
+    def unit(whole: np.ndarray) -> np.ndarray:
+        return (whole / np.sqrt((whole.astype(np.float64) ** 2).sum(1, keepdims=True))).astype(np.float32)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other, whole = shared.value
+        n, groups = len(other), max(64, 8 * (k + 1))
+        if n == 0:
+            return
+        near = np.ascontiguousarray(unit(whole).T)
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            vec = fixed_bytes(batch.column(1), width * 2).copy().view(np.int16)
+            step = max(1, 16_000_000 // n)
+            for s in range(0, len(own), step):
+                score = unit(vec[s : s + step]) @ near
+                # k + 1 columns (one may be the class itself) reach this bound, which is the exact one but for 32-bit rounding
+                width_of = n // groups
+                best = score[:, : width_of * groups].reshape(len(score), groups, width_of).max(1) if width_of > 8 * (k + 1) else score
+                rest = min(k + 1, best.shape[1])
+                bound = np.partition(best, best.shape[1] - rest, axis=1)[:, best.shape[1] - rest]
+                i, j = np.nonzero(score >= bound[:, None] - np.float32(1e-5))
+                x, y = vec[s + i].astype(np.float64), whole[j].astype(np.float64)
+                exact = np.einsum("ij,ij->i", x, y) / np.sqrt((x**2).sum(1) * (y**2).sum(1))
+                ok = own[s + i] != other[j]
+                i, j, exact = i[ok], j[ok], exact[ok]
+                if len(i) == 0:
+                    continue
+                ok = within_reach(i, -exact, -exact, k)
+                yield pa.RecordBatch.from_arrays([pa.array(own[s + i[ok]]), pa.array(other[j[ok]]), pa.array(exact[ok])], ["a", "b", "similarity"])
+
+    return search
+
+
+def indexed_near(
+    vectors: DataFrame,
+    classes: DataFrame,
+    key: str,
+    embedding: str,
+    k: int,
+    width: int,
+    min_similarity: float | None,
+    pivots: int | None,
+    prefix: int,
+    post: int,
+    max_footrule: int | None,
+    block: int,
+) -> DataFrame:
+    """``(a, b, similarity)`` with a < b: the pairs of classes that the index finds."""
+    count = vectors.count()
+    pivots = pivots or int(min(MAX_PIVOTS, max(16, 1.3 * count**0.5)))
+    chosen = choose_pivots(vectors, key, embedding, width, pivots)
+    prefix = min(prefix, len(chosen))
+    post = min(post, prefix)
+    if post >= 2:
+        if max_footrule is None:
+            prefix = post  # the later places name no file
+        posted = postings(classes, chosen, width, prefix, post)
+        pairs = file_pairs(posted, width, prefix, post, len(chosen), k, max_footrule, min_similarity, block)
+    else:  # fewer than two different vectors, so no pair of classes
+        alone = classes.select(F.col("class").alias("a"))
+        pairs = alone.withColumn("b", F.col("a")).withColumn("low", F.lit(0)).withColumn("high", F.lit(0)).limit(0)
+    return rerank(best_pairs(pairs, k), classes, width)
+
+
 def nearest_vectors(
     vectors: DataFrame,
     key: str = "vec_id",
@@ -245,6 +335,8 @@ def nearest_vectors(
     post: int = 5,
     max_footrule: int | None = None,
     block: int = 2048,
+    exhaustive: bool = False,
+    size: int = ROUND,
 ) -> DataFrame:
     """``(id, other, similarity, rank)``: the k most similar other vectors of each.
 
@@ -252,32 +344,23 @@ def nearest_vectors(
     and null ids take no part; a repeated id with equal vectors counts once.
     With ``min_similarity`` only neighbours at least so similar are given (and
     looked for).  An empty table gives no row; extra columns are ignored.  The
-    index is approximate: recall is measured in the tests.
+    index is approximate: recall is measured in the tests.  ``exhaustive`` compares
+    all pairs instead, in rounds of ``size`` classes, and loses nothing.
     """
-    count = vectors.count()
-    pivots = pivots or int(min(MAX_PIVOTS, max(16, 1.3 * count**0.5)))
-    chosen = choose_pivots(vectors, key, embedding, width, pivots)
-    prefix = min(prefix, len(chosen))
-    post = min(post, prefix)
     units = unit_vectors(vectors, key, embedding, width)
     classes = one_per(units.select("class", "vec"), "class")
-    if post >= 2:
-        if max_footrule is None:
-            prefix = post  # the later places name no file
-        posted = postings(classes, chosen, width, prefix, post)
-        pairs = file_pairs(posted, width, prefix, post, len(chosen), k, max_footrule, min_similarity, block)
-    else:  # fewer than two different vectors, so no pair of classes
-        alone = classes.select(F.col("class").alias("a"))
-        pairs = alone.withColumn("b", F.col("a")).withColumn("low", F.lit(0)).withColumn("high", F.lit(0)).limit(0)
-    exact = rerank(best_pairs(pairs, k), classes, width)
+    if exhaustive:
+        both = all_near(classes, width, k, size)
+    else:
+        exact = indexed_near(vectors, classes, key, embedding, k, width, min_similarity, pivots, prefix, post, max_footrule, block)
+        both = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     if min_similarity is not None:
-        exact = exact.filter(F.col("similarity") >= min_similarity)
+        both = both.filter(F.col("similarity") >= min_similarity)
 
     ids = units.select("id", "class").distinct()
     w = W.partitionBy("class")
     placed = ids.withColumn("place", F.row_number().over(w.orderBy("id"))).withColumn("n", F.count(F.lit(1)).over(w))
     first = placed.filter(F.col("place") <= k + 1)
-    both = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     copies = first.filter(F.col("place") == 2).select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(2.0).alias("similarity"))
     near = both.unionByName(copies).join(first.select(F.col("class").alias("b"), F.col("id").alias("other")), "b")
     by_class = W.partitionBy("a").orderBy(F.desc("similarity"), "other")

@@ -130,6 +130,24 @@ def test_nearest_vectors_in_a_dense_group(spark):
     assert len(got) == len(want) and len(got & want) >= 0.995 * len(want)
 
 
+def test_neighbours_of_every_vector(spark):
+    from quarrylight.llm.queries import p1_neighbours
+    from quarrylight.plans.retrieval import dense_topk
+
+    got = {}
+    for r in p1_neighbours(spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r.vec_id, []).append((r["rank"], r.neighbour_id))
+    want = {}
+    for r in dense_topk(spark, "/root/testdata/sf0.01").collect():
+        want.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    usable = spark.read.parquet("/root/testdata/sf0.01/chunk_vectors.parquet").filter("vec_id IS NOT NULL AND size(embedding) = 64 AND NOT exists(embedding, x -> x IS NULL OR isnan(x)) AND exists(embedding, x -> x <> 0)")
+    assert set(got) == {r.vec_id for r in usable.select("vec_id").distinct().collect()} and {len(x) for x in got.values()} == {10}
+    assert len(want) > 5 and {q: sorted(x) for q, x in want.items()} == {q: sorted(got[q]) for q in want}
+    rows = spark.read.parquet("/root/testdata/sf0.01/chunk_vectors.parquet")
+    rounds = {(r.id, r["rank"], r.other) for r in vectors.nearest_vectors(rows, k=10, exhaustive=True, size=300).collect()}
+    assert rounds == {(q, *p) for q, x in got.items() for p in x}
+
+
 def test_defects():
     q = "What was the FY2019 net income of Acme, in USD millions?"
     cases = [

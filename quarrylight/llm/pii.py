@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.session import materialise
@@ -269,6 +268,28 @@ def disclosure(found: DataFrame, term: str, evidence: F.Column, shrink: float =
     return counts.select(F.col(term).alias("term"), (bits / -math.log2(rate)).alias("share"))
 
 
+def apart(spans: DataFrame) -> DataFrame:
+    """``(id, start, end)``: the spans of each id by place, without those that overlap the last one kept.
+
+    In "A B, C D" the spans are "A B", "B, C" and "C D": the second is left out
+    and so does not stand in the way of the third.
+    """
+    kind = spans.schema["id"].dataType.simpleString()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, end = None, 0  # an id's rows may go on in the next batch
+        for batch in batches:
+            at = []
+            for row, (key, s, e) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if key != last or s >= end:
+                    at.append(row)
+                    last, end = key, e
+            yield batch.take(pa.array(at, pa.int64()))
+
+    placed = spans.select("id", "start", "end").repartition("id").sortWithinPartitions("id", "start", "end")
+    return placed.mapInArrow(keep, f"id {kind}, start long, end long")
+
+
 def personal_spans(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.4) -> DataFrame:
     """``(id, kind, start, end)`` of all personal information, by place.
 
@@ -292,9 +313,7 @@ def personal_spans(rows: DataFrame, key: str = "doc_id", text: str = "text", thr
     family = disclosure(trailing, "term", F.col("cue")).filter(F.col("share") >= threshold)
     likely = known.filter(F.col("is_given") | (F.col("form") == "initial"))
     named = likely.join(family.select(F.col("term").alias("family")), "family", "left_semi")
-    # of overlapping mentions ("A B, C D") the first is the name
-    before = F.max("end").over(W.partitionBy("id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
-    names = named.distinct().withColumn("before", before).filter(F.coalesce(F.col("before") <= F.col("start"), F.lit(True)))
+    names = apart(named.select("id", "start", "end").distinct())
     return direct.unionByName(names.select("id", F.lit("name").alias("kind"), "start", "end"))
 
 

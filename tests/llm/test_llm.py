@@ -287,6 +287,18 @@ def test_names_and_redaction(spark):
     assert pii.personal_spans(df.limit(0)).count() == 0
 
 
+def test_names_in_a_list(spark):
+    given, family = ["Anna", "Bert", "Carla"], ["Quimby", "Rostova", "Sanders"]
+    rows = [(i, f"Today Mr. {g} {f} spoke, then {f}, {g} left.") for i, (g, f) in enumerate((g, f) for g in given for f in family)]
+    text = "Signed by Anna Quimby, Carla Sanders, Bert Rostova and others."
+    rows += [(50, "Green Bay and Green Works grew. " * 50)]
+    df = spark.createDataFrame([*rows, (100, text), (100, text)], "doc_id long, text string")
+    spans = [r for r in pii.personal_spans(df).collect() if r.id == 100]
+    assert {text[r.start : r.end] for r in spans} == {"Anna Quimby", "Carla Sanders", "Bert Rostova"}
+    clean = {r.id: r.text for r in pii.redact(df.dropDuplicates()).collect()}
+    assert clean[100] == "Signed by [NAME], [NAME], [NAME] and others."
+
+
 def test_queries_run_on_the_smallest_tables(spark):
     from quarrylight.llm.queries import QUERIES
 

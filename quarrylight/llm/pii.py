@@ -58,7 +58,8 @@ LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 MAIL_SIGN = re.compile(r"@|[(\[{]\s?[Aa][Tt]\s?[)\]}]")
 MAIL_WORD = re.compile(r"\s[Aa][Tt]\s")
 MAIL_DOMAIN = re.compile(rf"\s?(?P<domain>{LABEL}(?:{DOT}{LABEL})*{DOT}[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.I)
-MAIL_LOCAL = re.compile(rf"(?:{LOCAL})(?:\s?[(\[]\s?dot\s?[)\]]\s?{LOCAL})*\s?\Z", re.I)
+MAIL_LOCAL = re.compile(rf"(?<![A-Za-z0-9])(?:{LOCAL})(?:{DOT}{LOCAL})*\s?\Z", re.I)
+LOCAL_BOUND = 320  # 64 characters, of which 31 may be dots written as " (dot) "
 
 PHONE = re.compile(
     r"""[+(0-9](?:
@@ -110,14 +111,13 @@ CUE = re.compile(r"(?:\b(?:" + "|".join(HONORIFICS) + r")\.?|\bM\.|/s/)\s$")
 
 def mail_addresses(text: str) -> list[tuple[int, int]]:
     """Spans of mail addresses, also written with words or blanks for their signs."""
-    signs = list(MAIL_SIGN.finditer(text))
-    if " dot " in text or " DOT " in text:
-        signs += MAIL_WORD.finditer(text)
+    signs = [*MAIL_SIGN.finditer(text), *MAIL_WORD.finditer(text)]
     out = []
     for sign in signs:
         domain = MAIL_DOMAIN.match(text, sign.end())
-        if domain:
-            low = max(0, sign.start() - 80)
+        web = domain and sign.re is MAIL_WORD and domain["domain"].lower().startswith("www")  # "available at www.acme.test"
+        if domain and not web:
+            low = max(0, sign.start() - LOCAL_BOUND)
             local = MAIL_LOCAL.search(text[low : sign.start()])
             if local:
                 out.append((low + local.start(), domain.end("domain")))

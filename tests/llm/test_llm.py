@@ -263,6 +263,14 @@ def test_identifiers():
     assert [v for k, v in got if k == "address"] == ["Flat 11, 131 Kelvik Road", "209 boulevard du Quorvane", "Calle Kelmont 18", "Yarwynstr. 91", "771 W. Fenmont St"]
 
 
+def test_mail_addresses_in_words():
+    texts = ["jo at acme.test", "jonas dot w at acme dot test", "JO AT acme Dot test", "jonas {dot} w (at) acme.test", " dot ".join("abcdefghijklmnopqr") + " at acme dot test"]
+    for t in texts:
+        text = f"({t}) and so on"
+        assert [text[s:e] for s, e in pii.mail_addresses(text)] == [t]
+    assert pii.mail_addresses("Filings dot the site, available at www.acme.test. We met at home. Then") == []
+
+
 def test_names_and_redaction(spark):
     given, family = ["Anna", "Bert", "Carla"], ["Quimby", "Rostova", "Sanders"]
     rows, n = [], 0

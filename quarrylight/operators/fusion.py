@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,11 +38,13 @@ def bonus(question: Column, section: Column, kind: Column, goal: Column | None =
 
 
 def valued(scored: DataFrame, questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """Scored chunks with their metadata and ranking ``value``."""
+    """Scored chunks with their metadata and ranking ``value``; a question may have a ``goal``."""
     meta = docs.select("chunk_id", "doc_id", "page", "section", "content_type")
-    known = scored.join(meta, "chunk_id").join(questions.select("query_id", "question"), "query_id")
-    value = F.round(F.col("score") + bonus(F.col("question"), F.col("section"), F.col("content_type")), 9)
-    return known.withColumn("value", value)
+    asked = questions.select("query_id", "question", *[c for c in ("goal",) if c in questions.columns])
+    known = scored.join(meta, "chunk_id").join(asked, "query_id")
+    goal = F.col("goal") if "goal" in questions.columns else None
+    value = F.round(F.col("score") + bonus(F.col("question"), F.col("section"), F.col("content_type"), goal), 9)
+    return known.withColumn("value", value).drop("goal")
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -66,6 +70,27 @@ def page_neighbours(fused: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return first.select("query_id", "chunk_id", score.alias("score"), seen.cast("bigint").alias("seen"))
 
 
+def term_overlap(question: Column, text: Column) -> Column:
+    """Share of the question's distinct terms that the text has (the offline scorer)."""
+    asked = F.array_distinct(T.terms(question))
+    share = F.size(F.array_intersect(asked, T.terms(text))) / F.nullif(F.size(asked), F.lit(0))
+    return F.coalesce(share, F.lit(0.0))
+
+
+def reranked(placed: DataFrame, docs: DataFrame, scorer: Callable[[Column, Column], Column], window: int) -> DataFrame:
+    """The first ``window`` places in the order of the scorer, equal scores as before; the rest follows unchanged.
+
+    The scorer sees the text alone, without its header.  ``model_score`` is
+    null behind the window.
+    """
+    texts = docs.select("chunk_id", "text")
+    first = placed.filter(F.col("place") <= window).join(texts, "chunk_id")
+    scored = first.withColumn("model_score", F.round(scorer(F.col("question"), F.col("text")), 6)).drop("text")
+    order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("model_score"), "place"))
+    rest = placed.filter(F.col("place") > window).withColumn("model_score", F.lit(None).cast("double"))
+    return scored.withColumn("place", order).unionByName(rest)
+
+
 def diversify(rows: DataFrame, k: int) -> DataFrame:
     """At most ``PER_PAGE`` chunks of a page: first each page's best chunk and best table, then the rest.
 

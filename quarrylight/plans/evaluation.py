@@ -10,6 +10,7 @@ from quarrylight.functions import text as T
 from quarrylight.operators import citations, metrics
 from quarrylight.plans import oracle as O
 from quarrylight.session import table
+from quarrylight.settings import Settings
 
 METRICS = ["faithfulness", "answer_relevancy", "answer_correctness", "context_precision", "context_recall"]
 
@@ -128,16 +129,22 @@ def question_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(companies, "lc", "left_semi").groupBy("question_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def context_budget(spark: SparkSession, sf_dir: str, first: int = 6, budget: int = 1600) -> DataFrame:
-    """The contexts that fit a budget of characters, each cut to what is left of it."""
-    each = samples(spark, sf_dir).select("sample_id", F.posexplode(F.slice("contexts", 1, first)).alias("pos", "context"))
-    w = W.partitionBy("sample_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+def within_budget(contexts: DataFrame, key: str, budget: int) -> DataFrame:
+    """The contexts ``(key, pos, context)`` that fit a budget of characters, each cut to what is left of it; an empty one ends the list."""
+    w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     size = F.length(F.coalesce("context", F.lit("")))
     prior = F.coalesce(F.sum(size).over(w), F.lit(0))
     gap = F.coalesce(F.max((size == 0).cast("int")).over(w), F.lit(0))
-    left = each.withColumn("room", F.greatest(F.lit(budget) - prior, F.lit(0))).withColumn("gap", gap).withColumn("size", size)
+    left = contexts.withColumn("room", F.greatest(F.lit(budget) - prior, F.lit(0))).withColumn("gap", gap).withColumn("size", size)
     kept = left.filter((F.col("gap") == 0) & (F.col("size") > 0) & (F.col("room") > 0))
-    return kept.select("sample_id", "pos", F.expr("substring(context, 1, room)").alias("context"))
+    return kept.select(key, "pos", F.expr("substring(context, 1, CAST(room AS int))").alias("context"))
+
+
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first contexts of each sample within the budget of the settings."""
+    s = Settings.from_environment()
+    each = samples(spark, sf_dir).select("sample_id", F.posexplode(F.slice("contexts", 1, s.answer_contexts)).alias("pos", "context"))
+    return within_budget(each, "sample_id", s.answer_characters)
 
 
 def evidence_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def keywords(x: str) -> str:
 def variants(x: str) -> str:
     forms = [x, f"CASE WHEN {keywords(x)} <> '' AND {fold(keywords(x))} <> {fold(x)} THEN {keywords(x)} END"]
     for triggers, words in T.EXPANSIONS:
-        hit = " OR ".join(f"contains({fold(x)}, {quoted(t)})" for t in triggers.split("|"))
+        hit = " OR ".join(f"contains({fold(x)}, {quoted(t)})" for t in triggers)
         forms += [f"CASE WHEN {hit} THEN {x} || ' ' || {quoted(words)} END", f"CASE WHEN {hit} THEN {quoted(words)} END"]
     return "[" + ", ".join(forms) + "]"
 
@@ -41,7 +41,7 @@ def first_case(pairs: list[tuple[str, str]]) -> str:
 def line(x: str) -> str:
     t = f"replace(replace({x}, chr(160), ' '), chr(173), '')"
     t = f"regexp_replace({t}, '^\\s{{0,3}}#{{1,6}}\\s+', '')"
-    t = f"regexp_replace({t}, '^[\\s|]+|[\\s|]+$', '', 'g')"
+    t = f"regexp_replace({t}, '^\\s*\\|*\\s*|\\s*\\|*\\s*$', '', 'g')"
     t = f"regexp_replace({t}, '[*_]{{1,3}}', '', 'g')"
     t = f"regexp_replace({t}, '(?i)\\b(factor|statement|financial|consolidated|management)\\s+s\\b', '\\1s', 'g')"
     return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"

@@ -56,11 +56,14 @@ def validity(answers: DataFrame) -> DataFrame:
     ``answers`` has ``sample_id, answer, citations, retrieved_chunk_ids,
     gold_doc_keys, gold_page_keys, chunk_key_index``.  A citation outside the
     retrieved ids, the gold documents or the gold pages is invalid (each test
-    only where the list is not empty); no citation gives 0.
+    only where the list is not empty); no citation gives 0.  The page key of a
+    citation comes from the index, else its document from the chunk id, else
+    from the filing.
     """
     c = F.col("c")
     mapped = F.coalesce(F.try_element_at("chunk_key_index", c["chunk_id"]), F.lit(""))
-    doc = F.when(mapped != "", F.split_part(mapped, F.lit("#p"), F.lit(1))).otherwise(T.doc_key(c["filing"]))
+    by_id = F.nullif(T.doc_key_of_chunk(F.coalesce(c["chunk_id"], F.lit(""))), F.lit(""))
+    doc = F.when(mapped != "", F.split_part(mapped, F.lit("#p"), F.lit(1))).otherwise(F.coalesce(by_id, T.doc_key(c["filing"])))
     page = F.when(mapped != "", F.split_part(mapped, F.lit("#p"), F.lit(2))).otherwise(F.coalesce(c["page"].cast("string"), F.lit("?")))
     known = F.filter("retrieved_chunk_ids", lambda x: x != "")
     own_id = F.coalesce(c["chunk_id"], F.lit("")) != ""

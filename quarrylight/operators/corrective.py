@@ -68,14 +68,14 @@ def offline_plan(question: Column, text: Column) -> Column:
 
 
 def first_sentence(question: Column, evidence: Column, computed: Column) -> Column:
-    """The first sentence of the first evidence, and the computed result if there is one."""
+    """The first sentence of the first evidence and the computed result if there is one, with markers."""
     stated = F.coalesce(F.try_element_at(T.sentences(F.element_at(evidence, 1)["text"]), F.lit(1)), F.lit("See the evidence."))
-    return F.concat(stated, F.coalesce(F.concat(F.lit(" Computed: "), computed.cast("string"), F.lit(".")), F.lit("")))
+    return F.concat(cite_first(stated), F.coalesce(F.concat(F.lit(" Computed: "), computed.cast("string"), F.lit(" [1].")), F.lit("")))
 
 
 def cite_first(draft: Column) -> Column:
     """The draft with a marker of the first evidence behind every sentence that has none."""
-    return F.array_join(F.transform(T.sentences(draft), lambda s: F.when(F.size(T.markers(s)) > 0, s).otherwise(F.concat(s, F.lit(" [1]")))), " ")
+    return F.array_join(F.transform(T.sentences(draft), lambda s: F.when(F.size(T.markers(s)) > 0, s).otherwise(F.regexp_replace(s, r"(?s)^(.*?)([.!?]*)$", "$1 [1]$2"))), " ")
 
 
 @dataclass(frozen=True)
@@ -259,31 +259,37 @@ def answer_all(questions: DataFrame, corpus: hybrid.Corpus, providers: Providers
         F.transform("parts", lambda x: x["question"]).alias("subs"),
         F.transform("parts", lambda x: x["evidence_goal"]).alias("goals"),
         F.lit(0).alias("hop"), F.lit(0).alias("retry"), F.lit("retrieve").alias("step"),
-        ids.alias("evidence"), ids.alias("chunks"), F.expr(f"CAST(array() AS {log_type})").alias("log"),
+        F.lit(False).alias("same"), ids.alias("evidence"), ids.alias("chunks"), F.expr(f"CAST(array() AS {log_type})").alias("log"),
     )
     state = materialise(state.withColumn("active", F.element_at("subs", 1)), "state")
+    hits = None  # of the round before: a query that its rewriting leaves as it was needs no second search
     for _ in range(s.max_hops * (s.max_retries + 1)):
         running = state.filter(F.col("step") == "retrieve")
         if running.isEmpty():
             break
-        wanted = running.select("query_id", F.col("active").alias("question"), "company", "fiscal_year", active_goal(F.col("goals"), F.col("hop")).alias("goal"))
-        hits = materialise(hybrid.search(wanted, corpus, settings=s), "hits")
+        wanted = running.filter("NOT same").select("query_id", F.col("active").alias("question"), "company", "fiscal_year", active_goal(F.col("goals"), F.col("hop")).alias("goal"))
+        kept = hits.join(running.filter("same").select("query_id"), "query_id", "left_semi") if hits is not None else None
+        if kept is None or not wanted.isEmpty():
+            news = hybrid.search(wanted, corpus, settings=s)
+            kept = news if kept is None else news.unionByName(kept)
+        hits = materialise(kept, "hits")
         judged = graded(hits, docs, running.select("query_id", "active", "retry"), p)
         new = accepted(judged, s.max_retries).groupBy("query_id").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("new")
         )
         found = hits.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("found"))
         joined = running.join(new, "query_id", "left").join(found, "query_id", "left").withColumns({"new": F.coalesce("new", ids), "found": F.coalesce("found", ids)})
-        added = F.filter("new", lambda e: ~F.array_contains("evidence", e))
+        joined = joined.withColumn("added", F.array_except("new", "evidence"))
         entry = F.struct(
             F.col("hop").alias("hop"), F.col("retry").alias("retry"), F.col("active").alias("query"),
             F.size("found").alias("chunks"), F.slice("found", 1, LOGGED).alias("top"),
         )
-        moved = joined.withColumns({"fresh": F.size(added), "evidence": F.concat("evidence", added), "log": F.concat("log", F.array(entry)), "chunks": F.col("found")})
-        moved = moved.withColumn("go", next_step(F.col("fresh"), F.col("retry"), F.size("evidence"), F.col("hop"), F.size("subs"), s.max_retries))
+        moved = joined.withColumns({"evidence": F.concat("evidence", "added"), "log": F.concat("log", F.array(entry)), "chunks": F.col("found")})
+        moved = moved.withColumn("go", next_step(F.size("added"), F.col("retry"), F.size("evidence"), F.col("hop"), F.size("subs"), s.max_retries))
         rewrite, advance = F.col("go") == "rewrite", F.col("go") == "advance"
         changed = moved.withColumns(
             {
+                "same": rewrite & (p.rewrite(F.col("active")) == F.col("active")),
                 "active": F.when(rewrite, p.rewrite(F.col("active"))).when(advance, F.try_element_at("subs", F.col("hop") + 2)).otherwise(F.col("active")),
                 "retry": F.when(rewrite, F.col("retry") + 1).when(advance, 0).otherwise(F.col("retry")),
                 "hop": F.when(advance, F.col("hop") + 1).otherwise(F.col("hop")),

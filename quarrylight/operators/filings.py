@@ -65,6 +65,77 @@ def upsert(state: DataFrame, news: DataFrame) -> DataFrame:
     return latest_state(state.unionByName(news))
 
 
+#: Columns of the ingest state and their values where an older table lacks them.
+STATE_DEFAULTS = {
+    "pdf_path": ("string", ""), "pdf_mtime_ns": ("bigint", 0), "chunk_size": ("int", 0), "chunk_overlap": ("int", 0), "cache_path": ("string", ""),
+    "status": ("string", ""), "chunk_count": ("bigint", 0), "error": ("string", ""), "parser_version": ("string", ""), "updated_at": ("double", 0.0),
+}
+
+
+def with_columns(rows: DataFrame, defaults: dict) -> DataFrame:
+    """The rows with every missing column added at its default."""
+    return rows.withColumns({c: F.lit(v).cast(kind) for c, (kind, v) in defaults.items() if c not in rows.columns})
+
+
+def empty_state(spark) -> DataFrame:
+    """A reset state: all columns, no row."""
+    return with_columns(spark.createDataFrame([], "doc_id string"), STATE_DEFAULTS)
+
+
+def manifest(chunks: DataFrame, group: str, settings_key: str) -> DataFrame:
+    """``(group, fingerprint)``: digest of the settings and of the group's filings.
+
+    Filings enter by the sum of their digests, a partial aggregate, so a group
+    of any size is never brought together in one row.
+    """
+    ids = chunks.filter(F.col("chunk_id").isNotNull()).select(group, "doc_id").distinct()
+    digest = F.conv(F.substring(F.md5("doc_id"), 1, 8), 16, 10).cast("bigint")
+    sums = ids.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(digest).alias("s"))
+    return sums.select(group, F.sha2(F.concat_ws("|", F.lit(settings_key), F.col("n").cast("string"), F.col("s").cast("string")), 256).alias("fingerprint"))
+
+
+def manifest_changes(old: DataFrame, new: DataFrame, group: str) -> DataFrame:
+    """``(group, rebuild)``: whether a group's stored fingerprint is missing or differs from the present one."""
+    o = old.select(F.col(group).alias("g"), F.col("fingerprint").alias("before"))
+    both = new.join(o, F.col(group).eqNullSafe(F.col("g")), "left")
+    return both.select(group, (~F.col("fingerprint").eqNullSafe(F.col("before"))).alias("rebuild"))
+
+
+def merged_chunks(cached: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Cached chunks (``origin`` 0) and newly parsed ones (1), with ``corpus_pos`` inside each filing by chunk id.
+
+    The order of the corpus is (origin, doc_id, corpus_pos).
+    """
+    every = cached.withColumn("origin", F.lit(0)).unionByName(parsed.withColumn("origin", F.lit(1)))
+    return every.withColumn("corpus_pos", F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_id")) - 1)
+
+
+#: Fixed value: a company's name with its legal form on a first page.
+COMPANY_NAME = r"\b([A-Z][A-Za-z0-9&.,'\- ]+?\s+(?:Inc\.|Corp\.|Corporation|Company|Ltd\.|plc))\b"
+
+
+def file_documents(files: DataFrame, path: str, first_page: str) -> DataFrame:
+    """``(doc_id, company, ticker, doc_type, fiscal_year, source_path)`` from file names and first pages.
+
+    The name is read as ticker, year and type between underscores; without a
+    year it is 2023, without a type 10-K; without a company on the first page
+    it is the ticker.
+    """
+    stem = F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+    parts = F.split(F.replace(stem, F.lit(" "), F.lit("_")), "_")
+    ticker = F.upper(F.element_at(parts, 1))
+    year = F.nullif(F.regexp_extract(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), "[0-9]{4}", 0), F.lit(""))
+    named = F.nullif(F.trim(F.regexp_extract(F.substring(first_page, 1, 2000), COMPANY_NAME, 1)), F.lit(""))
+    return files.select(
+        stem.alias("doc_id"),
+        F.coalesce(named, ticker).alias("company"),
+        ticker.alias("ticker"),
+        F.coalesce(F.replace(F.try_element_at(parts, F.lit(3)), F.lit("-"), F.lit("_")), F.lit("10-K")).alias("doc_type"),
+        F.coalesce(year, F.lit("2023")).cast("int").alias("fiscal_year"),
+        F.col(path).alias("source_path"),
+    )
+
+
 def resolved_paths(documents: DataFrame, paths: DataFrame) -> DataFrame:
     """``(doc_id, path, tier)``: the file of each document.
 
@@ -103,10 +174,16 @@ def resolved_paths(documents: DataFrame, paths: DataFrame) -> DataFrame:
 def page_headings(pages: DataFrame) -> DataFrame:
     """``(doc_id, page, section, section_heading)``: headings carried forward over a document's pages.
 
-    ``pages`` has ``doc_id, page, text``; the last heading of a page wins, and
-    pages before the first heading are 'Unknown'.
+    ``pages`` has ``doc_id, page, text`` and perhaps ``tables``, of which the
+    first three lines are read behind the text; the last heading of a page
+    wins, and pages before the first heading are 'Unknown'.
     """
-    lines = pages.select("doc_id", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r\n|\n|\r")).alias("pos", "line"))
+    of = lambda t: F.split(F.coalesce(t, F.lit("")), "\r\n|\n|\r")
+    every = of(F.col("text"))
+    if "tables" in pages.columns:
+        tables = F.coalesce("tables", F.expr("CAST(array() AS array<string>)"))
+        every = F.concat(every, F.flatten(F.transform(tables, lambda t: F.slice(of(t), 1, 3))))
+    lines = pages.select("doc_id", "page", F.posexplode(every).alias("pos", "line"))
     found = lines.withColumn("section", T.heading(F.col("line"), F.col("page"))).filter(F.col("section").isNotNull())
     last = found.groupBy("doc_id", "page").agg(F.max_by(F.struct("section", T.normalize_line(F.col("line")).alias("heading")), "pos").alias("h"))
     w = W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, 0)

@@ -14,6 +14,7 @@ RRF_K = 60
 SECTION_BONUS, TABLE_BONUS = 0.01, 0.004
 SAME_PAGE, NEXT_PAGE = 1e-4, 5e-4  # what a neighbour's score lies below its anchor's
 PER_PAGE = 3
+META = ["doc_id", "page", "section", "content_type"]
 
 
 def reciprocal_rank_fusion(lists: DataFrame) -> DataFrame:
@@ -38,13 +39,15 @@ def bonus(question: Column, section: Column, kind: Column, goal: Column | None =
 
 
 def valued(scored: DataFrame, questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """Scored chunks with their metadata and ranking ``value``; a question may have a ``goal``."""
-    meta = docs.select("chunk_id", "doc_id", "page", "section", "content_type")
+    """Scored chunks with their metadata, question and ranking ``value``; a question may have a ``goal``."""
     asked = questions.select("query_id", "question", *[c for c in ("goal",) if c in questions.columns])
-    known = scored.join(meta, "chunk_id").join(asked, "query_id")
-    goal = F.col("goal") if "goal" in questions.columns else None
-    value = F.round(F.col("score") + bonus(F.col("question"), F.col("section"), F.col("content_type"), goal), 9)
-    return known.withColumn("value", value).drop("goal")
+    return with_value(scored.join(docs.select("chunk_id", *META), "chunk_id").join(asked, "query_id"))
+
+
+def with_value(rows: DataFrame) -> DataFrame:
+    """Rows ``(score, question, section, content_type)``, perhaps with a ``goal``, and their ranking ``value``."""
+    goal = F.col("goal") if "goal" in rows.columns else None
+    return rows.withColumn("value", F.round(F.col("score") + bonus(F.col("question"), F.col("section"), F.col("content_type"), goal), 9))
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -60,14 +63,15 @@ def page_neighbours(fused: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """
     anchors = fused.filter((F.col("place") <= k) & F.col("page").isNotNull())
     offsets = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(o).alias("by")) for i, o in enumerate((0, -1, 1))])
-    window = anchors.select("query_id", "place", "score", "doc_id", "page", F.explode(offsets).alias("o"))
-    window = window.select("query_id", "place", "score", "doc_id", (F.col("page") + F.col("o.by")).alias("page"), F.col("o.turn").alias("turn"))
-    near = window.join(docs.select("doc_id", "page", "chunk_id"), ["doc_id", "page"])
+    carried = [c for c in ("question", "goal") if c in fused.columns]
+    window = anchors.select("query_id", "place", "score", "doc_id", "page", *carried, F.explode(offsets).alias("o"))
+    window = window.select("query_id", "place", "score", "doc_id", *carried, (F.col("page") + F.col("o.by")).alias("page"), F.col("o.turn").alias("turn"))
+    near = window.join(docs.select("doc_id", "page", "chunk_id", *[c for c in META[2:] if c in docs.columns]), ["doc_id", "page"])
     fresh = near.join(fused.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     first = fresh.withColumn("at", F.row_number().over(W.partitionBy("query_id", "chunk_id").orderBy("place", "turn"))).filter("at = 1")
     score = F.col("score") - F.when(F.col("turn") == 0, SAME_PAGE).otherwise(NEXT_PAGE)
     seen = F.lit(1_000_000) + F.col("place") * 10 + F.col("turn")
-    return first.select("query_id", "chunk_id", score.alias("score"), seen.cast("bigint").alias("seen"))
+    return first.withColumn("score", score).withColumn("seen", seen.cast("bigint")).drop("place", "turn", "at")
 
 
 def term_overlap(question: Column, text: Column) -> Column:

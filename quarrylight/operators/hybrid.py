@@ -18,18 +18,26 @@ DENSE, LEXICAL = 0, 10  # what is added to a form's number to number its lists:
 
 @dataclass(frozen=True)
 class Corpus:
-    """What a search reads, written once: chunks, the lexical index and one vector per chunk with its metadata."""
+    """What a search reads, written once.
+
+    Chunks, the lexical index, one vector per chunk with its metadata, and the
+    companies and years that chunks and vectors have.
+    """
 
     docs: DataFrame
     index: lexical.Index
     vectors: DataFrame
+    places: DataFrame
+    vector_places: DataFrame
 
     @classmethod
     def build(cls, chunks: DataFrame, vectors: DataFrame, width: int = 64) -> Corpus:
         docs = materialise(lexical.corpus(chunks), "corpus")
         one = dense.usable_vectors(vectors, width).groupBy("chunk_id").agg(F.min_by("embedding", "vec_id").alias("embedding"))
         placed = one.join(docs.select("chunk_id", "company", "fiscal_year"), "chunk_id")
-        return cls(docs, lexical.Index.build(docs), materialise(placed, "vectors"))
+        held = materialise(placed, "vectors")
+        known = [materialise(rows.select("company", "fiscal_year").distinct(), "places") for rows in (docs, held)]
+        return cls(docs, lexical.Index.build(docs), held, *known)
 
 
 def depth(top_k: int, settings: Settings) -> tuple[int, int]:
@@ -57,12 +65,12 @@ def lists_for(questions: DataFrame, filters: DataFrame, corpus: Corpus, top_k: i
     def under(relaxed: DataFrame, ids: DataFrame) -> DataFrame:
         return ids.join(relaxed.drop("tier"), "query_id", "left").drop("query_id").withColumnRenamed("form", "query_id")
 
-    asked = under(lexical.relaxed_filters(filters, corpus.index.rows), forms)
+    asked = under(lexical.relaxed_filters(filters, corpus.places), forms)
     words = materialise(lexical.best_matches(asked, corpus.index, n_lexical), "lexical")
     lead = words.join(corpus.vectors.select("chunk_id", "embedding"), "chunk_id").groupBy("query_id").agg(F.min_by("embedding", "rank").alias("embedding"))
     split = F.substring_index("query_id", "\x1f", 1)
     named = lead.select(split.alias("query_id"), F.col("query_id").alias("form"), "embedding")
-    near = dense.nearest(under(lexical.relaxed_filters(filters, corpus.vectors, F.col), named), corpus.vectors, n_dense)
+    near = dense.nearest(under(lexical.relaxed_filters(filters, corpus.vector_places, F.col), named), corpus.vectors, n_dense)
     number = F.substring_index("query_id", "\x1f", -1).cast("int")
     listed = lambda hits, base: hits.select(split.alias("query_id"), (number + base).alias("list_no"), "rank", "chunk_id")
     return listed(near, DENSE).unionByName(listed(words, LEXICAL))
@@ -77,7 +85,7 @@ def candidates(questions: DataFrame, corpus: Corpus, top_k: int, settings: Setti
     stated filters are never dropped like this.
     """
     questions = materialise(questions, "questions")
-    inferred = lexical.infer_filters(questions.select("query_id", F.col("question").alias("query")), corpus.docs)
+    inferred = lexical.infer_filters(questions.select("query_id", F.col("question").alias("query")), corpus.places)
     filters = materialise(lexical.merged_filters(questions, inferred), "filters")
     lists = materialise(lists_for(questions, filters, corpus, top_k, settings), "lists")
     empty = questions.join(lists.select("query_id").distinct(), "query_id", "left_anti").join(filters.filter("NOT explicit"), "query_id", "left_semi")
@@ -90,8 +98,8 @@ def candidates(questions: DataFrame, corpus: Corpus, top_k: int, settings: Setti
 def place(questions: DataFrame, corpus: Corpus, fused: DataFrame, top_k: int) -> DataFrame:
     """Candidates and the neighbours of the best, with metadata, value and place."""
     start = fusion.ranked(fusion.valued(fused, questions, corpus.docs))
-    near = fusion.page_neighbours(start, corpus.docs, top_k)
-    return fusion.ranked(fusion.valued(fused.unionByName(near), questions, corpus.docs))
+    near = fusion.with_value(fusion.page_neighbours(start, corpus.docs, top_k))
+    return fusion.ranked(start.drop("place").unionByName(near))
 
 
 def search(

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.operators import citations, metrics
+from quarrylight.operators import citations, metrics, runs
 from quarrylight.plans import oracle as O
 from quarrylight.session import table
 from quarrylight.settings import Settings
@@ -101,15 +101,11 @@ def cleaned_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def question_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold document and page keys of each question, distinct, in order."""
-    q = table(spark, sf_dir, "questions").filter(F.col("financebench_id").isNotNull()).dropDuplicates(["financebench_id"])
-    named = F.transform("evidence", lambda e: T.doc_key(e["doc_name"]))
-    docs = F.array_distinct(F.filter(named, lambda k: k != ""))
-    pages = F.array_distinct(F.transform(F.filter("evidence", lambda e: T.doc_key(e["doc_name"]) != ""), lambda e: T.page_key(T.doc_key(e["doc_name"]), e["evidence_page_num"] + 1)))
-    own = T.doc_key(F.col("doc_name"))
+    q = runs.with_gold(table(spark, sf_dir, "questions").filter(F.col("financebench_id").isNotNull()).dropDuplicates(["financebench_id"]))
     return q.select(
         "financebench_id",
-        F.array_join(F.when(F.size(docs) > 0, docs).when(own != "", F.array(own)).otherwise(docs), ",").alias("doc_keys"),
-        F.array_join(pages, ",").alias("page_keys"),
+        F.array_join("doc_keys", ",").alias("doc_keys"),
+        F.array_join("page_keys", ",").alias("page_keys"),
         F.size(F.filter("evidence", lambda e: F.trim(F.coalesce(e["evidence_text"], F.lit(""))) != "")).alias("n_contexts"),
     )
 
@@ -205,7 +201,7 @@ _VALID = f"""marks AS (SELECT a.*, unnest({_markers("answer")}) AS m FROM a),
 places AS (SELECT DISTINCT ON (sample_id, place) *, {_place("m", "citations")} AS place FROM marks WHERE {_place("m", "citations")} IS NOT NULL ORDER BY sample_id, place),
 named AS (SELECT DISTINCT ON (sample_id, c) *, citations[place] AS c FROM places ORDER BY sample_id, c),
 keyed AS (SELECT *, coalesce(chunk_key_index[c.chunk_id], '') AS mapped FROM named),
-parts AS (SELECT *, CASE WHEN mapped <> '' THEN split_part(mapped, '#p', 1) ELSE {O.doc_key("c.filing")} END AS doc,
+parts AS (SELECT *, CASE WHEN mapped <> '' THEN split_part(mapped, '#p', 1) ELSE coalesce(nullif({O.doc_key("regexp_replace(coalesce(c.chunk_id, ''), '_p[0-9]{1,4}(_[\\s\\S]*)?$', '')")}, ''), {O.doc_key("c.filing")}) END AS doc,
     CASE WHEN mapped <> '' THEN split_part(mapped, '#p', 2) ELSE coalesce(CAST(c.page AS VARCHAR), '?') END AS pg FROM keyed),
 judged AS (SELECT sample_id, NOT (
     coalesce(coalesce(c.chunk_id, '') <> '' AND len(list_filter(retrieved_chunk_ids, lambda x: x <> '')) > 0 AND NOT list_contains(retrieved_chunk_ids, c.chunk_id), false)
@@ -238,10 +234,11 @@ _NAMES = ["mrr"] + [f"{m}_{k}" for k in metrics.K_VALUES for m in ("precision",
 _MEANS = "count(*) AS n_scored, " + ", ".join(f"round(avg({n}), 6) AS {n}" for n in _NAMES)
 _DOC, _PAGE = _metrics("gold_doc_keys", "retrieved_doc_keys"), _metrics("gold_page_keys", "retrieved_page_keys")
 _GEN = ", ".join(f"round(avg(generation.{m}) FILTER (NOT isnan(generation.{m})), 6) AS {m}" for m in METRICS)
-_EV = "list_filter(evidence, lambda e: " + O.doc_key("e.doc_name") + " <> '')"
+_NAME = "coalesce(nullif(e.doc_name, ''), doc_name, '')"
+_EV = f"list_filter(coalesce(evidence, []), lambda e: {_NAME} <> '')"
 _FIRST = "list_filter({x}, lambda v, i: list_position({x}, v) = i)"
-_DOCS = f"list_transform({_EV}, lambda e: {O.doc_key('e.doc_name')})"
-_PAGES = f"list_transform({_EV}, lambda e: {O.doc_key('e.doc_name')} || '#p' || coalesce(CAST(e.evidence_page_num + 1 AS VARCHAR), '?'))"
+_DOCS = f"list_transform({_EV}, lambda e: {O.doc_key(_NAME)})"
+_PAGES = f"list_transform(list_filter({_EV}, lambda e: e.evidence_page_num IS NOT NULL), lambda e: {O.doc_key(_NAME)} || '#p' || (e.evidence_page_num + 1))"
 _KEYS = f"""qk AS (SELECT financebench_id, doc_name, evidence, {_DOCS} AS ds, {_PAGES} AS ps FROM (
     SELECT DISTINCT ON (financebench_id) * FROM questions WHERE financebench_id IS NOT NULL ORDER BY financebench_id)),
 keys AS (SELECT financebench_id, CASE WHEN len(ds) > 0 THEN array_to_string({_FIRST.format(x="ds")}, ',') ELSE {O.doc_key("doc_name")} END AS doc_keys,
@@ -268,6 +265,10 @@ SQL = {
     "generation_means": f"WITH {_S} SELECT {_GEN} FROM s",
     "scorable_samples": f"WITH {_S} SELECT sample_id, len(contexts) AS n_contexts FROM a WHERE regexp_matches(answer, '\\S') AND len(contexts) > 0",
     "cleaned_answers": f"WITH {_S} SELECT sample_id, regexp_replace(regexp_replace(answer, '(?s)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS answer FROM a WHERE answer IS NOT NULL",
+    "eval_report": f"""WITH {_DOC}, d AS (SELECT {_MEANS} FROM m), c1 AS (WITH {_S}, {_COVER}, {_VALID} SELECT round(coalesce(avg(coverage), 0.0), 6) AS coverage, round(coalesce(avg(validity), 0.0), 6) AS validity
+            FROM coverage JOIN validity USING (sample_id)), g AS (SELECT {_GEN} FROM s)
+        SELECT metric, value FROM (SELECT mrr, recall_10, ndcg_10, hit_rate_10, coverage, validity, {", ".join(METRICS)} FROM d, c1, g)
+            UNPIVOT INCLUDE NULLS (value FOR metric IN (mrr, recall_10, ndcg_10, hit_rate_10, coverage, validity, {", ".join(METRICS)}))""",
     "question_keys": f"WITH {_KEYS} SELECT * FROM keys",
     "question_sample": f"""WITH {_KEYS} SELECT financebench_id, doc_keys FROM keys WHERE doc_keys <> ''
         AND CAST('0x' || substring(sha256('42:' || financebench_id), 1, 8) AS BIGINT) < {int(0.2 * 2**32)}""",

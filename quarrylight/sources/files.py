@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from quarrylight.functions import text as T
+from quarrylight.operators.runs import report_columns
+
 DOCUMENT = (
     "doc_id string, doc_name string, company string, ticker string, doc_type string, document_type string, fiscal_year string, "
     "doc_period string, year string, source_path string, source_url string, doc_link string, url string, num_pages int"
@@ -86,15 +89,33 @@ def read_pages(spark: SparkSession, path: str, parse) -> DataFrame:
 
 
 def write_report(samples: DataFrame, folder: str) -> None:
-    """The samples as JSON and, flat and rounded, as CSV with a header."""
+    """The samples as JSON and, in the report's columns and rounding, as CSV with a header."""
     samples.write.mode("overwrite").json(f"{folder}/samples.json")
-    flat = []
-    for field in samples.schema:
-        if isinstance(field.dataType, S.DoubleType):
-            flat.append(F.round(field.name, 4).alias(field.name))
-        elif not isinstance(field.dataType, (S.ArrayType, S.MapType, S.StructType)):
-            flat.append(F.col(field.name))
-    samples.select(*flat).write.mode("overwrite").option("header", True).csv(f"{folder}/samples.csv")
+    report_columns(samples).drop("sample_id").write.mode("overwrite").option("header", True).csv(f"{folder}/samples.csv")
+
+
+def write_manifest(manifest: DataFrame, folder: str) -> None:
+    """Keeps the fingerprints of an ingest, in place of those before."""
+    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+
+
+def read_manifest(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """The fingerprints of the ingest before, or none (in the columns of ``like``)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
+    known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.parquet(f"{folder}/manifest") if known else like.limit(0)
+
+
+def write_chunk_cache(chunks: DataFrame, folder: str) -> None:
+    """Chunks by filing, each filing under its cache name; what other filings have there stays."""
+    named = chunks.withColumn("cache", T.cache_name(F.col("doc_id")))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache").parquet(folder)
+
+
+def read_chunk_cache(spark: SparkSession, folder: str, documents: DataFrame) -> DataFrame:
+    """The cached chunks of the documents (``doc_id``)."""
+    names = documents.select(T.cache_name(F.col("doc_id")).alias("cache")).distinct()
+    return spark.read.parquet(folder).join(names, "cache", "left_semi").drop("cache")
 
 
 def read_report(spark: SparkSession, folder: str, schema: S.StructType) -> DataFrame:

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.operators import calculations, chunking, citations, corrective, dense, filings, fusion, lexical, metrics, units
+from quarrylight.operators import calculations, chunking, citations, corrective, dense, filings, fusion, hybrid, lexical, metrics, runs, units
 from quarrylight.settings import Settings
-from quarrylight.sources import files
+from quarrylight.sources import files, vector_store
 from quarrylight.streaming import events
 
 
@@ -48,7 +48,7 @@ def test_bm25_against_a_loop(spark):
     chunks = spark.createDataFrame([(c, t, None, "X", 2020) for c, t in texts.items()], "chunk_id string, text string, context_header string, company string, fiscal_year int")
     docs = lexical.corpus(chunks.unionByName(chunks.limit(5)))
     queries = {"q1": "w1 w2 w2 w29", "q2": "w3", "q3": "none"}
-    got = {(r.query_id, r.chunk_id): r.score for r in lexical.best_matches(spark.createDataFrame(list(queries.items()), "query_id string, query string"), docs, 99).collect()}
+    got = {(r.query_id, r.chunk_id): r.score for r in lexical.best_matches(spark.createDataFrame(list(queries.items()), "query_id string, query string"), lexical.Index.build(docs), 99).collect()}
     tok = {c: t.split() for c, t in texts.items()}
     n, avg = len(tok), sum(map(len, tok.values())) / len(tok)
     df = {w: sum(w in t for t in tok.values()) for w in words if any(w in t for t in tok.values())}
@@ -64,8 +64,9 @@ def test_bm25_against_a_loop(spark):
 def test_lexical_on_empty_tables(spark):
     none = spark.createDataFrame([], "chunk_id string, text string, context_header string, company string, fiscal_year int")
     q = spark.createDataFrame([("q", "a b", "a b")], "query_id string, question string, query string")
-    assert lexical.best_matches(q, lexical.corpus(none), 5).count() == 0
-    assert lexical.best_matches(q.limit(0), lexical.corpus(none), 5).count() == 0
+    index = lexical.Index.build(lexical.corpus(none))
+    assert lexical.best_matches(q, index, 5).count() == 0
+    assert lexical.best_matches(q.limit(0), index, 5).count() == 0
     assert lexical.infer_filters(q, none).first().company is None
 
 
@@ -75,9 +76,33 @@ def test_filters_and_relaxation(spark):
     q = spark.createDataFrame([("a", "cash of ACME INC in 2020"), ("b", "cash of acme in 2019"), ("c", "cash 2018")], "query_id string, query string")
     f = {r.query_id: (r.company, r.fiscal_year) for r in lexical.infer_filters(q, chunks).collect()}
     assert f == {"a": ("Acme Inc", 2020), "b": ("Beta Acme Works", 2019), "c": (None, 2018)}
-    docs = lexical.corpus(chunks)
-    hits = {(r.query_id, r.tier, r.chunk_id) for r in lexical.relaxed_top_k(q, docs, lexical.infer_filters(q, chunks), 5).collect()}
-    assert {("a", 1, "c1"), ("a", 1, "c2"), ("b", 1, "c3"), ("c", 2, "c1"), ("c", 2, "c3")} == hits
+    index = lexical.Index.build(lexical.corpus(chunks))
+    hits = {(r.query_id, r.tier, r.chunk_id) for r in lexical.relaxed_top_k(q, index, lexical.infer_filters(q, chunks), 5).collect()}
+    assert {("a", 1, "c1"), ("a", 1, "c2"), ("b", 1, "c3"), ("c", 2, "c1"), ("c", 2, "c2"), ("c", 2, "c3")} == hits
+    odd = spark.createDataFrame([("日本電機",), ("The Group",)], "company string")
+    asked = spark.createDataFrame([("j", "Umsatz von 日本電機 2020"), ("g", "sales of the group")], "query_id string, query string")
+    assert {r.query_id: r.company for r in lexical.infer_filters(asked, odd).collect()} == {"j": "日本電機", "g": "The Group"}
+    stated = spark.createDataFrame([("a", "", 2021), ("b", "Nobody", None), ("c", None, None)], "query_id string, company string, fiscal_year int")
+    merged = {r.query_id: (r.company, r.fiscal_year, r.explicit) for r in lexical.merged_filters(stated, lexical.infer_filters(q, chunks)).collect()}
+    assert merged == {"a": ("Acme Inc", 2021, True), "b": ("Nobody", 2019, True), "c": (None, 2018, False)}
+
+
+def test_blocks_of_queries_give_the_same(spark, monkeypatch):
+    rows = [(f"c{i}", f"w{i % 7} w{i % 3} all", None, "AB"[i % 2], 2020) for i in range(50)]
+    index = lexical.Index.build(lexical.corpus(spark.createDataFrame(rows, "chunk_id string, text string, context_header string, company string, fiscal_year int")))
+    q = spark.createDataFrame([(f"q{i}", f"w{i} all", "a" if i % 2 else None) for i in range(9)], "query_id string, query string, company string")
+    whole = sorted(map(tuple, lexical.best_matches(q, index, 4).collect()))
+    monkeypatch.setattr(lexical, "BLOCK", 2)
+    assert sorted(map(tuple, lexical.best_matches(q, index, 4).collect())) == whole and len(whole) == 36
+
+
+def test_index_is_kept(spark, tmp_path):
+    rows = [("a", "net income", None, "A", 2020), ("b", "cash", None, "B", None), ("c", "debt", None, "B", None)]
+    index = lexical.Index.build(lexical.corpus(spark.createDataFrame(rows, "chunk_id string, text string, context_header string, company string, fiscal_year int")))
+    index.write(str(tmp_path / "index"))
+    again = lexical.Index.read(spark, str(tmp_path / "index"))
+    q = spark.createDataFrame([("q", "cash")], "query_id string, query string")
+    assert again.avgdl == index.avgdl and lexical.best_matches(q, again, 1).first().chunk_id == "b"
 
 
 def test_dense_ties_and_dirt(spark):
@@ -137,6 +162,7 @@ def test_calculations(spark):
 def test_formula_answer_settings_report(spark, monkeypatch):
     row = calculations.dispatch(spark.createDataFrame([(1, "absolute_change", 3.0, 1.5)], "plan_id int, operation string, a double, b double")).first()
     assert row.formula == "3.0 - 1.5"
+    assert [one(spark, calculations.written(F.col("x")), x=x) for x in (12345678.5, -1e7, 0.5, 1e15)] == ["12345678.5", "-10000000.0", "0.5", "1000000000000000.0"]
     cases = {"<|channel|>analysis<|message|>x": "", "a<|channel|>final<|message|> b <|return|>c": "b", "<think>x\ny</think> z": "z", "p<|im_end|>": "p"}
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.cleaned_answer(F.col("t")).alias("c"))
     assert {r.t: r.c for r in rows.collect()} == cases
@@ -223,11 +249,50 @@ def test_verdicts_and_routes(spark):
     assert one(spark, corrective.negative_evidence(F.lit("Give 0 if not shown in 2019"), F.lit(" Income Statement"), F.lit(2019)))
 
 
+CHUNKS = "chunk_id string, text string, context_header string, company string, fiscal_year int, section string, page int, doc_id string, doc_type string, source_url string, content_type string"
+VECTORS = "vec_id long, chunk_id string, embedding array<float>"
+
+
 def test_loop_states(spark):
-    chunks = spark.createDataFrame([("c1", "Net income was five million dollars in the period. More text.", None, "A", 2020, "x", None)], "chunk_id string, text string, context_header string, company string, fiscal_year int, section string, page int")
-    q = spark.createDataFrame([("yes", "net income five million"), ("no", "zebra quantum")], "query_id string, question string")
-    got = {r.query_id: (r.status, r.n_evidence) for r in corrective.answer_all(q, lexical.corpus(chunks)).collect()}
-    assert got == {"yes": ("answer", 1), "no": ("abstain", 0)}
+    rows = [
+        ("c1", "Net income was 5 million dollars in the period against 4. More text.", None, "A", 2020, "x", None, None, "10K", None, "narrative"),
+        ("c2", "Income of the zoo.", None, "A", 2021, "Income Statement", 1, "d", "10K", None, "table"),
+    ]
+    corpus = hybrid.Corpus.build(spark.createDataFrame(rows, CHUNKS), spark.createDataFrame([(1, "c1", [1.0] * 64)], VECTORS))
+    q = spark.createDataFrame([("yes", "net income million dollars period ratio"), ("no", "zebra quantum")], "query_id string, question string")
+    got = {r.query_id: r for r in corrective.answer_all(q, corpus).collect()}
+    yes, no = got["yes"], got["no"]
+    assert (yes.status, yes.n_evidence, yes.hops, yes.retries) == ("answer", 1, 1, 0)
+    assert yes.citations[0].filing == "2020 10K" and yes.calculation == "\\frac{5.0}{4.0} = 1.25" and "[1]" in yes.answer
+    assert yes.log[0].top and (no.status, no.n_evidence, no.retries, no.calculation) == ("abstain", 0, 2, None) and len(no.log) == 3
+    # a draft without markers is repaired while a retry is left
+    p = corrective.Providers(answer=lambda question, evidence, computed: F.lit("Net income was 5."))
+    assert {r.query_id: (r.status, r.answer, r.retries) for r in corrective.answer_all(q.filter("query_id = 'yes'"), corpus, p).collect()} == {"yes": ("answer", "Net income was 5 [1].", 1)}
+    assert corrective.answer_all(q.limit(0), corpus).count() == 0
+
+
+def test_replies_and_goals(spark):
+    read = lambda t: one(spark, corrective.classified(F.col("t").cast("string")), t=t)
+    good = read('x {no}\n```json\n{"reasoning_type": "numerical", "question_reasoning": "Numerical reasoning", "requires_calculation": true}\n```')
+    assert tuple(good) == ("numerical", ["Numerical reasoning"], True, False)
+    assert tuple(read("no object")) == ("information_extraction", ["Information extraction"], False, False)
+    assert tuple(read(None)) == ("information_extraction", ["Information extraction"], False, False)
+    assert tuple(read('{"question_reasoning": ["Logical reasoning", "Guessing"]}')) == ("information_extraction", ["Logical reasoning"], False, False)
+    parts = F.expr("array(named_struct('question', ' ', 'evidence_goal', 'x'), named_struct('question', 'b', 'evidence_goal', CAST(NULL AS string)))")
+    assert [tuple(p) for p in one(spark, corrective.parts_of(F.col("q"), parts, 2), q="a")] == [("b", "numeric_table")]
+    v = lambda *x: tuple(one(spark, corrective.validation(*[F.lit(y) for y in x])))
+    assert [v(True, 1, 0), v(False, 1, 0), v(False, 1, 2), v(True, 0, 0)] == [("answer", False), ("answer", True), ("abstain", False), ("abstain", False)]
+
+
+def test_stated_filters_are_kept(spark):
+    rows = [(f"c{i}", "cash flow text", None, "AB"[i % 2], 2020 + i % 3, "x", i, "d", "10K", None, "table") for i in range(12)]
+    corpus = hybrid.Corpus.build(spark.createDataFrame(rows, CHUNKS), spark.createDataFrame([(i, f"c{i}", [float(i + 1)] + [1.0] * 63) for i in range(12)], VECTORS))
+    q = spark.createDataFrame([("a", "cash", "b", None), ("b", "cash", "Nobody", None), ("c", "cash", None, 1990), ("d", "cash 2021", None, None)], "query_id string, question string, company string, fiscal_year int")
+    lists = hybrid.candidates(q, corpus, 12, Settings()).select("query_id", "chunk_id").collect()
+    got = {k: {r.chunk_id for r in lists if r.query_id == k} for k in "abcd"}
+    assert got["a"] == {f"c{i}" for i in range(1, 12, 2)} and got["b"] == set() and len(got["c"]) == 12 and got["d"] == {"c1", "c4", "c7", "c10"}
+    ranked = hybrid.search(q, corpus, 2, scorer=lambda question, text: F.length(text)).filter("query_id = 'a'").orderBy("rank").collect()
+    assert [r["rank"] for r in ranked] == [1, 2]
 
 
 def test_json_sources_and_report(spark, tmp_path):
@@ -240,9 +305,11 @@ def test_json_sources_and_report(spark, tmp_path):
     docs = tmp_path / "d.jsonl"
     docs.write_text(json.dumps({"doc_name": "X", "doc_period": "2019", "document_type": "10k"}))
     assert [(r.doc_id, r.fiscal_year) for r in files.read_documents(spark, str(docs)).collect()] == [("X", 2019)]
-    report = spark.createDataFrame([("a", 0.123456, ["x"])], "id string, score double, keys array<string>")
+    report = spark.read.parquet("/root/testdata/sf0.001/eval_samples.parquet")
     files.write_report(report, str(tmp_path / "r"))
-    assert files.read_report(spark, str(tmp_path / "r"), report.schema).collect() == report.collect()
+    assert files.read_report(spark, str(tmp_path / "r"), report.schema).count() == report.count()
+    header = next((tmp_path / "r" / "samples.csv").glob("part-*")).read_text().splitlines()[0].split(",")
+    assert len(header) == 15 and header[:3] == ["question_id", "question", "status"]
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "a.pdf").write_bytes(b"one")
     (tmp_path / "p" / "b.pdf").write_bytes(b"bad")
@@ -255,6 +322,45 @@ def test_json_sources_and_report(spark, tmp_path):
     assert {(r.error, r.text) for r in files.read_pages(spark, str(tmp_path / "p"), parse).collect()} == {(None, "one"), ("broken", None)}
 
 
+def test_kept_tables(spark, tmp_path):
+    store = vector_store.Collection(spark, str(tmp_path / "store"))
+    with pytest.raises(FileNotFoundError):
+        store.rows()
+    assert not store.exists() and store.create().count() == 0 and store.exists()
+    rows = spark.createDataFrame([("a", 1, [1.0], "m"), ("b", 2, [1.0], "m")], vector_store.SCHEMA)
+    store.upsert(rows)
+    store.upsert(rows.filter("chunk_id = 'a'").withColumn("model", F.lit("n")))
+    assert {r.chunk_id: r.model for r in store.rows().collect()} == {"a": "n", "b": "m"}
+    with pytest.raises(ValueError):
+        store.upsert(rows.unionByName(rows))
+    assert store.reset().count() == 0
+    chunks = spark.createDataFrame([("a", "d"), ("b", "e")], "chunk_id string, doc_id string")
+    files.write_chunk_cache(chunks, str(tmp_path / "cache"))
+    files.write_chunk_cache(chunks.filter("doc_id = 'd'").withColumn("chunk_id", F.lit("a2")), str(tmp_path / "cache"))
+    assert {r.chunk_id for r in files.read_chunk_cache(spark, str(tmp_path / "cache"), chunks).collect()} == {"a2", "b"}
+    m = filings.manifest(chunks, "doc_id", "k")
+    assert {r.rebuild for r in filings.manifest_changes(files.read_manifest(spark, str(tmp_path / "m"), m), m, "doc_id").collect()} == {True}
+    files.write_manifest(m, str(tmp_path / "m"))
+    assert {r.rebuild for r in filings.manifest_changes(files.read_manifest(spark, str(tmp_path / "m"), m), m, "doc_id").collect()} == {False}
+    assert set(filings.empty_state(spark).columns) == {"doc_id", *filings.STATE_DEFAULTS} and filings.empty_state(spark).count() == 0
+
+
+def test_second_pass_and_judge(spark):
+    s = spark.createDataFrame([(1, "q1"), (2, "q9")], "sample_id int, question_id string")
+    q = spark.createDataFrame([("q1", "yes", [("d", 1, "t"), ("d", 2, None)]), ("q2", None, None)], "financebench_id string, answer string, evidence array<struct<doc_name:string,evidence_page_num:int,evidence_text:string>>")
+    assert [(r.sample_id, r.reference, r.reference_contexts) for r in runs.second_pass(s, q).collect()] == [(1, "yes", ["t"])]
+    with pytest.raises(ValueError):
+        runs.second_pass(s.filter("sample_id = 2"), q)
+    judge = spark.createDataFrame([("q1", 1, 0.5), ("q1", 2, float("nan"))], "question_id string, turn int, faithfulness double")
+    assert {r.sample_id: r.faithfulness for r in runs.judged(s, judge, ["faithfulness"]).collect()} == {1: None, 2: None}
+    assert [r.place for r in runs.numbered(spark.createDataFrame([("fb_00002",), ("fb_00001",), ("zz",)], "k string"), "k").orderBy("k").collect()] == [0, 1, 2]
+
+
+def test_json_values(spark):
+    rows = spark.createDataFrame([("a {b [1, 2] {\"c\": \"}\"}",), ("none",), (None,), ("{\"x\": {\"y\": [1]}} tail",)], "t string")
+    assert [r.found for r in calculations.first_json(rows, "t", "found").collect()] == ["[1, 2]", None, None, '{"x": {"y": [1]}}']
+
+
 def test_streams(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(source)

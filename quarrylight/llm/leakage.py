@@ -1,17 +1,21 @@
 """Evaluation passages inside a corpus, by an FM-index per training shard.
 
-Every task turns the documents it reads into shards of bounded size.  A shard
-is the sequence of its documents' tokens (numbers from the test material's
-vocabulary; all other tokens share one number), each document closed by a
-separator and the shard by a terminator.  From its suffix array come the Burrows-Wheeler transform, held in a
-wavelet matrix with rank directories, and suffix positions sampled at every
-``STEP``-th place.  All test phrases of ``run`` tokens are searched backwards
-at once; the occurrences are located by walking to the next sampled position
-and runs of neighbouring occurrences are merged to spans.
-
-The corpus is read once and not shuffled.  The test material is small beside
-it: it is searched in blocks of at most ``MAX_PHRASES`` distinct phrases, each
-broadcast to the shards.
+``build_index`` turns the documents that each task reads into shards of bounded
+size and gives one row per shard: a shard is the sequence of its documents'
+tokens, each document closed by a separator and the shard by a terminator.
+Tokens are numbered by the shard's own vocabulary, so the index does not depend
+on any test material and can be kept.  From the suffix array come the
+Burrows-Wheeler transform, held in a wavelet matrix, and suffix positions
+sampled at every ``STEP``-th place.  A document longer than a shard is cut into
+segments that overlap by one phrase less a token, so no occurrence is lost or
+found twice.
+
+``leaks`` searches all test phrases of ``run`` tokens backwards at once; the
+occurrences are located by walking to the next sampled position, and runs of
+neighbouring occurrences are merged to spans.  The corpus is read once and not
+shuffled.  Phrases go to the shards in blocks of at most ``MAX_PHRASES``
+distinct ones, as numbers into the block's own vocabulary; with several blocks
+the index is written first and searched by each of them.
 """
 
 from __future__ import annotations
@@ -22,32 +26,39 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylight.session import materialise
+
 TOKEN = "[a-z0-9]+"
 SHARD = 1_500_000  # tokens per shard
 STEP = 8  # every so many positions one is sampled
 MAX_PHRASES = 500_000  # distinct phrases broadcast at once (24 MB at 12 tokens)
-TERMINATOR, SEPARATOR, OTHER = 0, 1, 2
+TERMINATOR, SEPARATOR, FIRST = 0, 1, 2  # symbols; words are numbered from FIRST
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix positions in order, by prefix doubling over what is still tied.
 
-    ``text`` holds numbers below 65535 and ends with its only terminator.
+    ``text`` ends with its only terminator.  The first key packs as many
+    symbols as fit into 64 bits.
     """
     n = len(text)
-    padded = np.concatenate((text + 1, np.zeros(4, text.dtype))).astype(np.uint64)  # beyond the end: below all symbols
-    key = (padded[:n] << np.uint64(48)) | (padded[1 : n + 1] << np.uint64(32)) | (padded[2 : n + 2] << np.uint64(16)) | padded[3 : n + 3]
+    width = int(text.max() + 1).bit_length()
+    length = min(4, 64 // width)
+    padded = np.concatenate((text + 1, np.zeros(length, text.dtype))).astype(np.uint64)  # beyond the end: below all symbols
+    key = np.zeros(n, np.uint64)
+    for i in range(length):
+        key = (key << np.uint64(width)) | padded[i : n + i]
     order = np.argsort(key, kind="stable")
     ranked = key[order]
     new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's rank is its first place
     rank = np.empty(n, np.int64)
     rank[order] = first
-    length = 4
     tied = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in groups of several
     while len(tied):
         suffix = order[tied]
@@ -67,16 +78,21 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 class WaveletMatrix:
     """Rank and access over a sequence of numbers, vectorised over queries."""
 
-    def __init__(self, values: np.ndarray, bits: int):
-        self.bits, self.n = bits, len(values)
-        self.words, self.before, self.zeros = [], [], []
+    def __init__(self, words: np.ndarray, n: int):
+        """``words`` holds the bits of each level, the highest first, 64 to a word."""
+        self.bits, self.n, self.words = len(words), n, words
+        counts = np.bitwise_count(words)
+        self.before = np.concatenate((np.zeros((len(words), 1), np.int64), np.cumsum(counts, axis=1, dtype=np.int64)), axis=1)
+        self.zeros = n - self.before[:, -1]
+
+    @classmethod
+    def of(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
+        n, levels = len(values), []
         for level in range(bits - 1, -1, -1):
             ones = ((values >> level) & 1).astype(bool)
-            packed = np.packbits(np.pad(ones, (0, -len(ones) % 64 + 64)), bitorder="little").view(np.uint64)
-            self.words.append(packed)
-            self.before.append(np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64))))
-            self.zeros.append(self.n - int(ones.sum()))
+            levels.append(np.packbits(np.pad(ones, (0, -n % 64 + 64)), bitorder="little").view(np.uint64))
             values = np.concatenate((values[~ones], values[ones]))
+        return cls(np.stack(levels), n)
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Set bits before each place of one level."""
@@ -109,13 +125,35 @@ class WaveletMatrix:
 class FMIndex:
     """Backward search and location over one shard."""
 
-    def __init__(self, text: np.ndarray, symbols: int):
+    def __init__(self, bwt: WaveletMatrix, smaller: np.ndarray, kept: np.ndarray, position: np.ndarray):
+        self.bwt, self.smaller, self.kept, self.position = bwt, smaller, kept, position
+        self.sampled = np.concatenate(([0], np.cumsum(kept)))
+
+    @classmethod
+    def of(cls, text: np.ndarray, symbols: int) -> FMIndex:
+        """The index of a sequence of symbols that ends with its only terminator."""
         order = suffix_array(text)
-        self.bwt = WaveletMatrix(text[order - 1].astype(np.int64), max(1, int(symbols - 1).bit_length()))
-        self.smaller = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))
+        bwt = WaveletMatrix.of(text[order - 1].astype(np.int64), max(1, int(symbols - 1).bit_length()))
+        smaller = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))
         kept = order % STEP == 0
-        self.sampled = np.concatenate(([0], np.cumsum(kept)))
-        self.kept, self.position = kept, order[kept]
+        return cls(bwt, smaller, kept, order[kept])
+
+    def to_bytes(self) -> bytes:
+        """The index in one value: sizes, bits of the levels, symbol counts, sampled places and positions."""
+        head = np.array([self.bwt.n, self.bwt.bits, self.bwt.words.shape[1], len(self.smaller), len(self.position)], np.int64)
+        parts = (head, self.bwt.words, self.smaller.astype(np.int64), self.position.astype(np.int64), np.packbits(self.kept))
+        return b"".join(x.tobytes() for x in parts)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> FMIndex:
+        n, bits, width, symbols, positions = np.frombuffer(data, np.int64, 5).tolist()
+        at = 40
+        words = np.frombuffer(data, np.uint64, bits * width, at).reshape(bits, width)
+        at += words.nbytes
+        smaller = np.frombuffer(data, np.int64, symbols, at)
+        position = np.frombuffer(data, np.int64, positions, at + smaller.nbytes)
+        kept = np.unpackbits(np.frombuffer(data, np.uint8, offset=at + smaller.nbytes + position.nbytes))[:n].astype(bool)
+        return cls(WaveletMatrix(words, n), smaller, kept, position)
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(phrase, low, high)`` of the phrases (rows) that occur."""
@@ -160,6 +198,86 @@ def test_phrases(tests: DataFrame, key: str, texts: list[F.Column], run: int) ->
     return long_enough.select("test", F.explode(F.transform(starts, lambda i: F.slice("tokens", i, run))).alias("phrase")).distinct()
 
 
+def build_index(corpus: DataFrame, key: str, text: str, run: int, shard: int = SHARD) -> DataFrame:
+    """``(ids, begins, offsets, words, data)``: one row per shard of the corpus.
+
+    Segment i of a shard begins at symbol ``begins[i]`` and at token
+    ``offsets[i]`` of the document ``ids[i]``; ``words`` is the shard's
+    vocabulary in the order of its symbols.  Texts of fewer than ``run`` tokens
+    have no segment.
+    """
+    kind = corpus.schema[key].dataType.simpleString()
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(TOKEN).findall
+        ids, offsets, parts, size, codes = [], [], [], 0, {}
+
+        def row() -> pa.RecordBatch:
+            begins = np.cumsum([0] + [len(p) for p in parts[:-1]])
+            index = FMIndex.of(np.concatenate([*parts, [TERMINATOR]]), len(codes) + FIRST)
+            held = pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), pa.concat_arrays(ids))
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (begins, offsets)]
+            return pa.RecordBatch.from_arrays(
+                [held, *lists, pa.array([list(codes)], pa.list_(pa.string())), pa.array([index.to_bytes()], pa.binary())],
+                ["ids", "begins", "offsets", "words", "data"],
+            )
+
+        for batch in batches:
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                tokens = find(t.lower())
+                for start in range(0, len(tokens) - run + 1, shard - run + 1):
+                    piece = tokens[start : start + shard]
+                    if size and size + len(piece) > shard:
+                        yield row()
+                        ids, offsets, parts, size, codes = [], [], [], 0, {}
+                    for w in piece:
+                        if w not in codes:
+                            codes[w] = len(codes) + FIRST
+                    numbers = np.fromiter((codes[w] for w in piece), np.int64, len(piece))
+                    ids.append(batch.column(0).slice(i, 1))
+                    offsets.append(start)
+                    parts.append(np.append(numbers, SEPARATOR))
+                    size += len(piece) + 1
+        if parts:
+            yield row()
+
+    source = corpus.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    return source.mapInArrow(shards, f"ids array<{kind}>, begins array<bigint>, offsets array<bigint>, words array<string>, data binary")
+
+
+def search_block(spark, block: int, phrases: pa.Table, run: int):
+    """The task that searches a block of phrases in every shard it reads."""
+    flat = pc.dictionary_encode(pa.concat_arrays([c.flatten() for c in phrases.column("phrase").chunks]))
+    shared = spark.sparkContext.broadcast((flat.dictionary, flat.indices.to_numpy().reshape(-1, run)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, matrix = shared.value
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, begins, offsets, words = (batch.column(c)[r].values for c in range(4))
+                code = pc.index_in(vocabulary, words).fill_null(-FIRST - 1).to_numpy(zero_copy_only=False).astype(np.int64) + FIRST
+                phrase = code[matrix]
+                known = np.flatnonzero((phrase >= 0).all(1))  # the others have a word that the shard lacks
+                if len(known) == 0:
+                    continue
+                index = FMIndex.from_bytes(batch.column(4)[r].as_py())
+                hit, low, high = index.search(phrase[known])
+                which, at = index.locate(low, high)
+                begin = begins.to_numpy()
+                segment = np.searchsorted(begin, at, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.take(pa.array(segment)),
+                        pa.array(np.full(len(at), block, np.int32)),
+                        pa.array(known[hit[which]].astype(np.int32)),
+                        pa.array(at - begin[segment] + offsets.to_numpy()[segment]),
+                    ],
+                    ["id", "block", "no", "start"],
+                )
+
+    return search
+
+
 def leaks(
     corpus: DataFrame,
     tests: DataFrame,
@@ -168,6 +286,8 @@ def leaks(
     test_key: str,
     test_texts: list[F.Column],
     run: int = 12,
+    shard: int = SHARD,
+    max_phrases: int = MAX_PHRASES,
 ) -> DataFrame:
     """``(id, test, first_token, last_token)``: spans of leaked test material.
 
@@ -175,102 +295,35 @@ def leaks(
     test's phrases of ``run`` tokens (numbered from 0, ends included).  Null
     and short texts on either side give nothing; ``test_texts`` are array
     columns of texts, each taken by itself, null arrays and elements ignored;
-    corpus rows count one by one; null corpus keys give no row.  Empty tables
-    give no span; extra columns are ignored.
+    repeated corpus rows give their spans once; null corpus keys give no row.
+    Empty tables give no span; extra columns are ignored.
     """
     spark = corpus.sparkSession
-    kind, test_kind = corpus.schema[corpus_key].dataType.simpleString(), tests.schema[test_key].dataType.simpleString()
+    kind = corpus.schema[corpus_key].dataType.simpleString()
     filled = [F.filter(F.coalesce(t, F.expr("CAST(array() AS array<string>)")), lambda x: x.isNotNull()) for t in test_texts]
-    phrases = test_phrases(tests, test_key, filled, run)
-    blocks = max(1, -(-phrases.select("phrase").distinct().count() // MAX_PHRASES))
-    source = corpus.filter(F.col(corpus_key).isNotNull() & F.col(corpus_text).isNotNull()).select(
-        F.col(corpus_key).alias("id"), F.col(corpus_text).alias("text")
-    )
-    schema = f"id {kind}, test {test_kind}, first_token int, last_token int"
-
-    def block_spans(block: int) -> DataFrame:
-        part = phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == block)
-        held = part.groupBy("phrase").agg(F.sort_array(F.collect_set("test")).alias("tests")).toArrow()
-        return source.mapInArrow(shard_search(spark, held, run, test_kind), schema)
-
-    spans = reduce(DataFrame.unionByName, map(block_spans, range(blocks)))
-    if blocks == 1:
-        return spans
-    # phrases of one test may lie in several blocks: join what touches
-    w = W.partitionBy("id", "test").orderBy("first_token")
-    reach = F.max("last_token").over(w.rowsBetween(W.unboundedPreceding, -1))
-    run_no = F.sum(F.coalesce((F.col("first_token") > reach + 1).cast("int"), F.lit(0))).over(w)
+    phrases = materialise(test_phrases(tests, test_key, filled, run), "phrases")
+    distinct = phrases.select("phrase").distinct()
+    blocks = max(1, -(-distinct.count() // max_phrases))
+    # numbered inside blocks, so that a hit is two small numbers
+    placed = distinct.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(blocks)).cast("int"))
+    numbered = materialise(placed.withColumn("no", F.row_number().over(W.partitionBy("block").orderBy("phrase")) - 1), "numbered")
+    index = build_index(corpus, corpus_key, corpus_text, run, shard)
+    if blocks > 1:
+        index = materialise(index, "fm-index")
+    hits = []
+    for block in range(blocks):
+        held = numbered.filter(F.col("block") == block).select("no", "phrase").toArrow().sort_by("no")
+        if held.num_rows:
+            hits.append(index.mapInArrow(search_block(spark, block, held, run), f"id {kind}, block int, no int, start bigint"))
+    if not hits:
+        return corpus.select(F.col(corpus_key).alias("id")).limit(0).join(phrases.select("test").limit(0)).selectExpr("id", "test", "0 AS first_token", "0 AS last_token")
+    owners = numbered.join(phrases, "phrase").select("block", "no", "test")
+    found = reduce(DataFrame.unionByName, hits).join(owners, ["block", "no"]).select("id", "test", "start").distinct()
+    w = W.partitionBy("id", "test").orderBy("start")
+    fresh = F.coalesce((F.col("start") > F.lag("start").over(w) + run).cast("int"), F.lit(1))
+    spans = found.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(w))
     return (
-        spans.withColumn("span", run_no)
-        .groupBy("id", "test", "span")
-        .agg(F.min("first_token").alias("first_token"), F.max("last_token").alias("last_token"))
+        spans.groupBy("id", "test", "span")
+        .agg(F.min("start").cast("int").alias("first_token"), (F.max("start") + (run - 1)).cast("int").alias("last_token"))
         .drop("span")
     )
-
-
-def shard_search(spark, held: pa.Table, run: int, test_kind: str):
-    """The task that indexes its documents and searches the held phrases."""
-    words = sorted({w for p in held.column("phrase").to_pylist() for w in p})
-    code = {w: i + 3 for i, w in enumerate(words)}
-    symbols = len(code) + 3
-    if symbols > 65534:
-        raise ValueError("more than 65,531 different tokens in a block of phrases: lower MAX_PHRASES")
-    matrix = np.array([[code[w] for w in p] for p in held.column("phrase").to_pylist()], np.int64).reshape(-1, run)
-    names = sorted({t for ts in held.column("tests").to_pylist() for t in ts})
-    number = {t: i for i, t in enumerate(names)}
-    owners = [[number[t] for t in ts] for ts in held.column("tests").to_pylist()]
-    shared = spark.sparkContext.broadcast((code, matrix, owners, names))
-    name_type = held.schema.field("tests").type.value_type
-
-    def spans(ids: pa.Array, parts: list[np.ndarray], code_count: int) -> pa.RecordBatch:
-        _, phrases, owner_lists, test_names = shared.value
-        text = np.concatenate([*parts, [TERMINATOR]])
-        begins = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))
-        index = FMIndex(text, code_count)
-        hit, low, high = index.search(phrases)
-        which, at = index.locate(low, high)
-        doc = np.searchsorted(begins, at, "right") - 1
-        owner_of = [owner_lists[h] for h in hit]
-        many = np.array([len(owner_of[w]) for w in which], np.int64)
-        test = np.array([t for w in which for t in owner_of[w]], np.int64)
-        doc, start = np.repeat(doc, many), np.repeat(at - begins[doc], many)
-        order = np.lexsort((start, test, doc))
-        doc, test, start = doc[order], test[order], start[order]
-        fresh = np.ones(len(doc), bool)
-        fresh[1:] = (doc[1:] != doc[:-1]) | (test[1:] != test[:-1]) | (start[1:] > start[:-1] + run)
-        first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(doc)) - 1
-        return pa.RecordBatch.from_arrays(
-            [
-                ids.take(pa.array(doc[first])),
-                pa.array([test_names[t] for t in test[first]], name_type),
-                pa.array(start[first], pa.int32()),
-                pa.array(start[last] + run - 1, pa.int32()),
-            ],
-            ["id", "test", "first_token", "last_token"],
-        )
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, phrases, _, _ = shared.value
-        if len(phrases) == 0:
-            return
-        find, get = re.compile(TOKEN).findall, codes.get
-        ids, parts, size = [], [], 0
-        for batch in batches:
-            rows = []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                tokens = find(t.lower())
-                if len(tokens) < run:
-                    continue
-                numbers = np.fromiter((get(w, OTHER) for w in tokens), np.int64, len(tokens))
-                parts.append(np.append(numbers, SEPARATOR))
-                rows.append(i)
-                size += len(numbers) + 1
-            ids.append(batch.column(0).take(pa.array(rows, pa.int64())))
-            if size >= SHARD:
-                yield spans(pa.concat_arrays(ids), parts, symbols)
-                ids, parts, size = [], [], 0
-        if parts:
-            yield spans(pa.concat_arrays(ids), parts, symbols)
-
-    return search

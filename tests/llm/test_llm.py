@@ -211,7 +211,7 @@ def test_suffix_array_and_index():
     for n, v in ((1, 2), (60, 3), (300, 2), (500, 6)):
         text = np.append(rng.integers(1, v + 1, n), 0)
         assert leakage.suffix_array(text).tolist() == sorted(range(n + 1), key=lambda i: text[i:].tolist())
-        index = leakage.FMIndex(text, v + 1)
+        index = leakage.FMIndex.from_bytes(leakage.FMIndex.of(text, v + 1).to_bytes())
         phrases = rng.integers(1, v + 1, (40, 4))
         hit, low, high = index.search(phrases)
         which, at = index.locate(low, high)
@@ -219,7 +219,24 @@ def test_suffix_array_and_index():
         assert got == sorted((p, i) for p in range(40) for i in range(n - 3) if text[i : i + 4].tolist() == phrases[p].tolist())
 
 
-def test_leaks_against_a_scan(spark, monkeypatch):
+def test_suffix_array_of_many_symbols():
+    rng = np.random.default_rng(1)
+    for v in (70_000, 2**33):  # three symbols to the first key, and one
+        text = np.append(rng.integers(1, v, 300), 0)
+        text[100:200] = text[:100]
+        assert leakage.suffix_array(text).tolist() == sorted(range(301), key=lambda i: text[i:].tolist())
+
+
+def test_leaks_with_a_large_vocabulary(spark):
+    """More distinct test tokens than 16 bits hold, phrases in several blocks over one index, one long document."""
+    words = [f"x{i}" for i in range(80_000)]
+    corpus = spark.createDataFrame([(1, " ".join(words[:40_000])), (2, " ".join(words[50_000:50_012])), (3, " ".join(words[50_000:50_011]))], "doc_id long, text string")
+    tests = spark.createDataFrame([(f"f{i}", " ".join(words[i : i + 1000])) for i in range(0, 80_000, 1000)], "fid string, question string")
+    spans = leakage.leaks(corpus, tests, "doc_id", "text", "fid", [F.array("question")], 12, shard=9_000, max_phrases=30_000).collect()
+    assert {tuple(r) for r in spans} == {(1, f"f{i}", i, i + 999) for i in range(0, 40_000, 1000)} | {(2, "f50000", 0, 11)}
+
+
+def test_leaks_against_a_scan(spark):
     rng = random.Random(4)
     words = [f"t{i}" for i in range(50)]
     tests = [(f"f{i}", " ".join(rng.choices(words, k=20)), [" ".join(rng.choices(words, k=rng.randint(5, 40))), None]) for i in range(30)] + [("n", None, None)]
@@ -242,9 +259,7 @@ def test_leaks_against_a_scan(spark, monkeypatch):
                     want.add((i, fid))
     spans = leakage.leaks(*args).collect()
     assert {(r.id, r.test) for r in spans} == want and all(r.last_token - r.first_token >= 5 for r in spans)
-    monkeypatch.setattr(leakage, "MAX_PHRASES", 100)
-    monkeypatch.setattr(leakage, "SHARD", 300)
-    again = leakage.leaks(*args).collect()
+    again = leakage.leaks(*args, shard=40, max_phrases=100).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, spans))
     assert leakage.leaks(c.limit(0), *args[1:]).count() == 0 and leakage.leaks(c, t.limit(0), *args[2:]).count() == 0
 

@@ -2,34 +2,76 @@
 
 Each sample is judged by itself, in Arrow batches, by four recognisers:
 
-* *truncated*: a pushdown parser reads fences, brackets, quotations and mark-up;
-  what is left open at the end, or an end inside a sentence, is a truncation.
+* *truncated*: a pushdown parser reads fences, brackets, quotations, mark-up
+  and list items; what is left open at the end, or an end inside a sentence, is
+  a truncation.
 * *copied_question*: greedy string tiling covers the answer with tiles of the
   question; an answer with nearly nothing beside the tiles is a copy.
-* *other_language*: script checks and the function words of four languages.
-* *refusal*: a grammar of clauses (apology, inability, missing material).
+* *other_language*: script checks and word probabilities by language.
+* *refusal*: a grammar of clauses (apology, inability, missing material), tried
+  on every sentence.
 
 The recognisers run in the order empty, refusal, copied question, other
 language, truncated, so no sample has two defects.
+
+What words a language has, and which of them end no phrase, is learnt from
+labelled texts (``learn``): a classifier fitted to a bounded sample.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Function words that tell the languages apart.
-FUNCTION_WORDS = {
-    "en": "the of and to in is are was were for on with by at from that this which what how has have had not an it its as be will would over near during against while than because our we if or does did".split(),
-    "de": "der die das und den dem des ein eine einen einem einer ist sind war waren im in von vom zu zum zur mit auf für nicht sich auch wegen um bei nach über gegenüber aufgrund ohne hätten lägen unter aus als wie welche hoch haben warum".split(),
-    "fr": "le la les de des du un une et est sont était au aux en dans par pour sur avec que qui ce cette pas ne sera à d l s il elle ainsi effets hors soit quelles quel comment malgré aurait".split(),
-    "es": "el la los las de del un una y es son era en al con por para que se no su sus lo como más este esta también debe hasta sin cuál qué cierre habría división ejercicio".split(),
-}
+SAMPLE = 20_000  # labelled texts that the language classifier is fitted to
+LEXICON = 4_000  # words kept of each language, the most frequent
+FREQUENT = 150  # of these so many are asked whether they ever end a phrase
+LEAST_SHARE = 0.02  # labels with less of the sample are taken for errors
+LEAD, MEAN_LEAD = 5.0, 0.5  # nats by which another language must lead, in all and per known word
+
+
+@dataclass(frozen=True)
+class Profile:
+    """Languages, the log probabilities of words in each, and words that end no phrase."""
+
+    languages: tuple[str, ...] = ()
+    words: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    open_words: frozenset[str] = frozenset()
+
+
+def learn(texts: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Profile:
+    """The profile of labelled texts: ``sample`` of them, drawn by a hash of the key; rare labels are left out.
+
+    Null texts, labels and keys take no part; an empty table gives a profile that knows no language.
+    """
+    label = F.lower(F.trim(lang))
+    known = texts.filter(F.col(key).isNotNull() & F.col(text).isNotNull() & (label != ""))
+    drawn = known.select(F.xxhash64(F.lit("language"), key).alias("at"), label.alias("lang"), F.lower(text).alias("text")).orderBy("at").limit(sample)
+    # a word, with the mark or line break behind it that ends its phrase if there is one
+    found = F.regexp_extract_all("text", F.lit(r"\p{L}+(?:[.,;:!?…)\]\n|])?"), F.lit(0))
+    each = drawn.select("lang", F.explode(found).alias("w")).select("lang", F.regexp_extract("w", r"^\p{L}+", 0).alias("word"), F.col("w").rlike(r"\P{L}").alias("ends"))
+    counts = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ends").cast("int")).alias("ended"))
+    totals = counts.withColumn("total", F.sum("n").over(W.partitionBy("lang")))
+    first = totals.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("place") <= LEXICON)
+    rows = first.collect()  # languages x LEXICON rows at most
+    every = sum({r.lang: r.total for r in rows}.values())
+    totals_of = {r.lang: r.total for r in rows if r.total >= LEAST_SHARE * every}
+    languages = tuple(sorted(totals_of))
+    n = {(r.lang, r.word): r.n for r in rows}
+    lexicon = {r.word for r in rows if r.lang in totals_of}
+    words_ = {w: tuple(math.log((n.get((g, w), 0) + 0.5) / (totals_of[g] + 0.5 * len(lexicon))) for g in languages) for w in lexicon}
+    closed = frozenset(r.word for r in rows if r.lang in totals_of and r.place <= FREQUENT and r.n >= 30 and r.ended < 0.003 * r.n)
+    return Profile(languages, words_, closed)
+
+
 #: Answers that stand for none.
 PLACEHOLDERS = "none null nil nan n/a na - -- --- — – . .. ... … ? [] {} () \"\" '' undefined tbd todo unknown missing".split()
 
@@ -39,6 +81,7 @@ THINKING = re.compile(r"<(think|thinking|analysis|reasoning|scratchpad)>.*?(?:</
 TAG = re.compile(r"</?[A-Za-z][\w-]*(?:\s[^<>]*)?/?>")
 FENCE = re.compile(r"^\s*```[\w+-]*\s*$", re.M)
 WORD = re.compile(r"[^\W_]+", re.U)
+LETTERS = re.compile(r"[^\W\d_]+", re.U)
 
 #: Clauses of refusals by language.
 APOLOGY = {
@@ -87,14 +130,14 @@ REFUSALS = {
     for lang in APOLOGY
 }
 
+#: Refusals that begin a later sentence: an apology or the speaker, then the inability.
+LATER_REFUSALS = {
+    lang: re.compile(r"^\W*(?:" + APOLOGY[lang] + r"\W*(?:(?:but|aber|mais|pero|and|that)\W+)?)*(?:" + "|".join(INABILITY[lang]) + r")", re.I | re.S)
+    for lang in APOLOGY
+}
+
 PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»"}
-#: Words after which a sentence goes on.
-OPEN_WORDS = set(
-    "the a an of and or to in on at for with by from as than that which while because if but our their its his her is are was were be been may might could would should will can near against "
-    "between during through over under per into about after before compared mainly presented measured "
-    "der die das den dem des ein eine einer eines einem einen und oder von vom zu zum zur im in mit auf für bei nach über gegenüber um wegen aus unter zwischen "
-    "le la les de des du un une et ou en dans par pour sur avec que qui au aux à el los las del y o con por para se al su sus una un".split()
-)
+LIST_MARK = re.compile(r"[ \t]*(?:[-*•–]|\d{1,2}[.)])(?=\s|\Z)")
 
 
 def stripped(answer: str) -> str:
@@ -149,43 +192,65 @@ def tile(a: list[str], b: list[str], least: int = 2) -> int:
 def copies_question(question: str, answer: str) -> bool:
     """The answer only repeats the question, but for case, marks, labels or a few words."""
     q, a = words(question), words(stripped(answer))
-    if len(q) < 4 or len(a) < 0.5 * len(q) or len(a) > 3.5 * len(q) or not set(q) & set(a):
+    if len(q) < 4 or len(a) < 0.5 * len(q):
         return False
-    repeated = q * -(-len(a) // len(q))
-    covered = tile(a, repeated, 1 if len(a) < 60 else 2)
-    extra = len(a) - covered
-    return extra <= max(2, 0.15 * len(a)) and covered >= 0.6 * len(q)
+    spare = max(2, 0.15 * len(a))
+    own = set(q)
+    if sum(w not in own for w in a) > spare:  # no tile covers these words
+        return False
+    # whole repeats are tiles of their own; only the rest is tiled
+    rest, whole = re.subn(rf"(?<= ){re.escape(' '.join(q))}(?= )", "", f" {' '.join(a)} ")
+    rest = rest.split()
+    covered = len(a) - len(rest) + tile(rest, q if whole else q * -(-len(a) // len(q)), 1)
+    return len(a) - covered <= spare and covered >= 0.6 * len(q)
 
 
-def language(text: str) -> tuple[str | None, float, int]:
-    """The likeliest language, its lead over the next, and its function words."""
-    letters = [c for c in text if c.isalpha()]
-    if letters and sum(c > "ͯ" and not c.isascii() and "LATIN" not in unicodedata.name(c, "LATIN") for c in letters) > 0.4 * len(letters):
-        return "other", 1.0, 99
-    found = words(text)
-    counts = sorted(((sum(w in lex for w in found), lang) for lang, lex in SETS.items()), reverse=True)
-    return counts[0][1], (counts[0][0] - counts[1][0]) / max(1, len(found)), counts[0][0]
+def language(text: str, profile: Profile) -> tuple[list[float], int]:
+    """The log probability of a text's known words in each language, and their number."""
+    known = [profile.words[w] for w in LETTERS.findall(text.lower()) if w in profile.words]
+    return [sum(c) for c in zip(*known)] if known else [0.0] * len(profile.languages), len(known)
 
 
-SETS = {lang: set(lex) for lang, lex in FUNCTION_WORDS.items()}
+def foreign_script(text: str) -> bool:
+    """Whether more than four letters in ten are not Latin."""
+    letters = [c for c in text if c.isalpha()]
+    return sum(not c.isascii() and c > "\u036f" and "LATIN" not in unicodedata.name(c, "LATIN") for c in letters) > 0.4 * len(letters)
 
 
-def other_language(question: str, answer: str) -> bool:
+def other_language(question: str, answer: str, profile: Profile) -> bool:
     """Running text in a language other than the question's."""
     text = stripped(answer)
-    if len(words(text)) < 6:
+    if foreign_script(text) and not foreign_script(question):
+        return True
+    if len(profile.languages) < 2:
+        return False
+    asked, _ = language(question, profile)
+    given, n = language(text, profile)
+    own = max(range(len(asked)), key=asked.__getitem__)
+    few = n < 3 and len(LETTERS.findall(text)) < 5  # a figure or a name
+    if few or asked[own] - sorted(asked)[-2] < 1.0:  # or a question in no clear language
         return False
-    asked, _, seen = language(question)
-    given, lead, count = language(text)
-    return bool(seen) and given != asked and count >= 3 and lead >= 0.05
+    lead = max(given) - given[own]
+    return lead >= LEAD and lead >= MEAN_LEAD * n
 
 
 def open_at_end(text: str) -> str | None:
-    """What a pushdown parser has left open at the end of the text, if anything."""
+    """What a pushdown parser has left open at the end of the text, if anything.
+
+    A list mark at the beginning of a line opens an item, which the first sign
+    of its content closes; a mark that is the whole text opens none.
+    """
     stack: list[str] = []
     i = 0
     while i < len(text):
         c = text[i]
+        if (i == 0 or text[i - 1] == "\n") and (not stack or stack[-1] == "item") and (m := LIST_MARK.match(text, i)) and text[:i].strip() + text[m.end() :].strip():
+            if not stack:
+                stack.append("item")
+            i = m.end()
+            continue
+        if stack and stack[-1] == "item" and not c.isspace():
+            stack.pop()
         if text.startswith("```", i):
             if stack and stack[-1] == "```":
                 stack.pop()
@@ -229,7 +294,13 @@ COMPLETE = re.compile(
 FIGURE = re.compile(r"^[\s(]*[-+−–]?\s*(?:[A-Z]{2,3}\$?|[$€£¥])?\s*[-+−–(]*\d[\d.,  '’]*\)?\s*(?:%|x|×|bps?|k|m|mn|bn|b)?\s*(?:percent|per cent|prozent|pour cent|por ciento|thousand|million|billion|millions?|milliards?|millones|mio\.?|mrd\.?|tsd\.?)?(?:\s*(?:d'euros|de euros|euros?|eur|usd|dollars?|gbp|pounds?|shares))?[\s).]*$", re.I)
 
 
-def truncated(answer: str) -> bool:
+def open_end(text: str, profile: Profile) -> bool:
+    """The last word is one that ends no phrase; capitals are names or nouns and may end one."""
+    last = (WORD.findall(text) or [""])[-1]
+    return last in profile.open_words
+
+
+def truncated(answer: str, profile: Profile) -> bool:
     """The answer stops before its last sentence is complete."""
     text = THINKING.sub(" ", answer).strip()
     if open_at_end(CITATION.sub("", text)):
@@ -239,34 +310,44 @@ def truncated(answer: str) -> bool:
         return False
     lines = [x for x in bare.splitlines() if x.strip()]
     last = lines[-1].strip()
-    if re.fullmatch(r"[-*•–]|\d{1,2}[.)]", last) and len(lines) > 1:
-        return True  # a list mark without its item
     items = [re.match(r"\s*(?:[-*•]|\d{1,2}[.)])\s+\S", x) is not None for x in lines]
     if len(lines) > 1 and sum(items) >= len(lines) - 1 and items[-1]:
-        return last[-1] in ",:;([-–—" or words(last)[-1:] == [] or words(last)[-1] in OPEN_WORDS
-    if FIGURE.match(bare) or len(words(bare)) <= 3:
-        return last[-1] in ",;([" or (len(words(bare)) > 1 and words(bare)[-1] in OPEN_WORDS)
+        return last[-1] in ",:;([-–—" or not words(last) or open_end(last, profile)
+    if FIGURE.match(bare):
+        return last[-1] in ",;(["
+    if len(words(bare)) <= 3:
+        return last[-1] in ",;([" or (len(words(bare)) > 1 and open_end(bare, profile))
     end = last.rstrip("\"'”’»)*_` ")
     if end and end[-1] in ".!?…。！？":
         return end.endswith(("...", "…"))
     sentence = re.split(r"(?<=[.!?])\s+(?=[A-ZÀ-Þ])", last)[-1]
-    if end and end[-1] not in ",;:([-–—$€£" and COMPLETE.match(sentence) and words(sentence)[-1] not in OPEN_WORDS:
+    if end and end[-1] not in ",;:([-–—$€£" and COMPLETE.match(sentence) and not open_end(sentence, profile):
         return False
     return True
 
 
+def sentences(text: str) -> list[str]:
+    return [x for x in re.split(r"(?<=[.!?…])\s+|\n+", text) if x.strip()]
+
+
 def refuses(answer: str, gold: str | None) -> bool:
-    """Declines or claims inability although the reference answer gives an answer."""
+    """Declines or claims inability although the reference answer gives an answer.
+
+    Every sentence is tried: the opening two by the whole grammar, later ones
+    only where they begin with the apology or the speaker's inability, since an
+    answer may say of some figure that a filing does not contain it.  That the
+    filing does not disclose it is a refusal where no other sentence has a figure.
+    """
     if gold is None or not gold.strip() or is_empty(gold) or NONDISCLOSURE.search(gold):
         return False
-    text = stripped(answer)
-    first = " ".join(re.split(r"(?<=[.!?])\s+", text)[:2])
-    if len(words(text)) <= 30 and NONDISCLOSURE.search(text):
+    parts = sentences(stripped(answer))
+    if any(NONDISCLOSURE.search(x) for x in parts) and not any(re.search(r"\d", x) for x in parts if not NONDISCLOSURE.search(x)):
         return True
-    return any(r.match(first) for r in REFUSALS.values())
+    opening = " ".join(parts[:2])
+    return any(r.match(opening) for r in REFUSALS.values()) or any(r.match(x) for x in parts[2:] for r in LATER_REFUSALS.values())
 
 
-def defect_of(question: str | None, answer: str | None, gold: str | None) -> str | None:
+def defect_of(question: str | None, answer: str | None, gold: str | None, profile: Profile) -> str | None:
     """The sample's defect, or None."""
     if is_empty(answer):
         return "empty"
@@ -274,23 +355,28 @@ def defect_of(question: str | None, answer: str | None, gold: str | None) -> str
         return "refusal"
     if question and copies_question(question, answer):
         return "copied_question"
-    if question and other_language(question, answer):
+    if question and other_language(question, answer, profile):
         return "other_language"
-    return "truncated" if truncated(answer) else None
+    return "truncated" if truncated(answer, profile) else None
 
 
-def defective_pairs(samples: DataFrame, key: str = "sample_id", status: str = "answer") -> DataFrame:
+def defective_pairs(samples: DataFrame, profile: Profile, key: str = "sample_id", status: str = "answer") -> DataFrame:
     """``(id, defect)`` of the samples that claim an answer and have a defect.
 
+    ``profile`` comes from ``learn``; without languages no answer is in another one.
+
     The status counts apart from case and surrounding blanks.  Repeated keys
     count once; null keys give no row; a null question leaves the defects that
     need none; a null answer is 'empty'; an empty table gives no row.
     """
 
+    shared = samples.sparkSession.sparkContext.broadcast(profile)
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profile = shared.value
         for batch in batches:
             q, a, g = (batch.column(c).to_pylist() for c in (1, 2, 3))
-            found = [defect_of(*x) for x in zip(q, a, g)]
+            found = [defect_of(*x, profile) for x in zip(q, a, g)]
             keep = pa.array([i for i, d in enumerate(found) if d], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), pa.array([d for d in found if d], pa.string())], ["id", "defect"])
 

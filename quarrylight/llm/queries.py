@@ -38,7 +38,8 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples that claim an answer and have a defect."""
-    return pairs.defective_pairs(table(spark, sf_dir, "eval_samples")).select(F.col("id").alias("sample_id"), "defect")
+    profile = pairs.learn(table(spark, sf_dir, "documents"))
+    return pairs.defective_pairs(table(spark, sf_dir, "eval_samples"), profile).select(F.col("id").alias("sample_id"), "defect")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,18 @@ def test_neighbours_of_every_vector(spark):
     assert rounds == {(q, *p) for q, x in got.items() for p in x}
 
 
-def test_defects():
+@pytest.fixture(scope="module")
+def profile(spark):
+    return pairs.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_profile(spark, profile):
+    assert profile.languages == ("de", "en", "es", "fr") and {"the", "of", "der", "de"} <= profile.open_words and "million" not in profile.open_words
+    rows = spark.createDataFrame([(1, None, "en"), (2, "x y", None), (None, "a b", "en")], "doc_id long, text string, lang string")
+    assert pairs.learn(rows) == pairs.Profile() == pairs.learn(rows.limit(0))
+
+
+def test_defects(profile):
     q = "What was the FY2019 net income of Acme, in USD millions?"
     cases = [
         (None, "5", "empty"), (" \n", "5", "empty"), ("```\n```", "5", "empty"), ("<think>hm</think>", "5", "empty"), ("Answer:", "5", "empty"), ("[1]", "5", "empty"),
@@ -159,15 +170,19 @@ def test_defects():
         ("Net income fell because of the", "5", "truncated"), ("Net income rose to (", "5", "truncated"), ("Net income rose, see\n- ", "5", "truncated"), ("```python\nx = 1", "5", "truncated"),
         ("5.2%", "5", None), ("Yes", "5", None), ("(1,234)", "5", None), ("- Revenue: $5\n- Debt: $6 million", "5", None), ("It was 5. The counterparty is Acme Works", "5", None),
         ("Net income was 5. [1, 3]", "5", None),
+        ("Thank you for asking. I have read the filing carefully. I'm sorry, but I cannot answer this question.", "5", "refusal"),
+        (" ".join([q] * 5), "5", "copied_question"), (" ".join([q] * 300), "5", "copied_question"), ("Der Umsatz stieg stark an.", "5", "other_language"),
+        ("The filing does not disclose this. " * 12, "5", "refusal"), ("Net income was 5. It rose by 2. The filing does not contain a table on it, but the notes do.", "5", None),
+        ("1. Net income rose.\n2.", "5", "truncated"), ("2.0 percent", "5", None), ("Istenpath Partners", "5", None),
     ]
-    assert [(a, pairs.defect_of(q, a, g)) for a, g, _ in cases] == [(a, d) for a, _, d in cases]
-    assert pairs.defect_of(None, "Fine answer.", None) is None
+    assert [(a, pairs.defect_of(q, a, g, profile)) for a, g, _ in cases] == [(a, d) for a, _, d in cases]
+    assert pairs.defect_of(None, "Fine answer.", None, profile) is None and pairs.defect_of("q w e r?", "株主 株主 株主", "5", pairs.Profile()) == "other_language"
 
 
 def test_defective_pairs_frame(spark):
     rows = spark.createDataFrame([(1, " ANSWER\t", "q?", None, "5"), (1, " ANSWER\t", "q?", None, "5"), (2, "abstain", "q?", None, "5"), (3, None, "q?", None, "5"), (None, "answer", "q?", None, "5")], "sample_id long, status string, question string, predicted_answer string, gold_answer string")
-    assert [tuple(r) for r in pairs.defective_pairs(rows).collect()] == [(1, "empty")]
-    assert pairs.defective_pairs(rows.limit(0)).count() == 0
+    assert [tuple(r) for r in pairs.defective_pairs(rows, pairs.Profile()).collect()] == [(1, "empty")]
+    assert pairs.defective_pairs(rows.limit(0), pairs.Profile()).count() == 0
 
 
 def test_splitting_rules(spark):

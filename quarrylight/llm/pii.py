@@ -59,7 +59,7 @@ MAIL_SIGN = re.compile(r"@|[(\[{]\s?[Aa][Tt]\s?[)\]}]")
 MAIL_WORD = re.compile(r"\s[Aa][Tt]\s")
 MAIL_DOMAIN = re.compile(rf"\s?(?P<domain>{LABEL}(?:{DOT}{LABEL})*{DOT}[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.I)
 MAIL_LOCAL = re.compile(rf"(?<![A-Za-z0-9])(?:{LOCAL})(?:{DOT}{LOCAL})*\s?\Z", re.I)
-LOCAL_BOUND = 320  # 64 characters, of which 31 may be dots written as " (dot) "
+WINDOW = 320  # characters before a sign that are looked at first; a local part that begins there has more of them looked at
 
 PHONE = re.compile(
     r"""[+(0-9](?:
@@ -83,6 +83,8 @@ ID_LABEL_BEFORE = re.compile(
     r"(?<!\w)(?:" + "|".join(re.escape(x) for x in sorted(ID_LABELS, key=len, reverse=True)) + r")(?:\s?(?:no|nr|number)\b\.?)?\s?[:#]?\s{0,2}\Z",
     re.I,
 )
+#: A label with what may stand around it: a sign before it, "number", a colon, two blanks.
+LABEL_LENGTH = max(map(len, ID_LABELS)) + len("X number. :  ")
 CAP = r"[A-ZÀ-ÖØ-Þ][\w'’]*(?:-[A-ZÀ-ÖØ-Þ]\w*)*"
 _after = "|".join(re.escape(x) for x in STREETS_AFTER)
 _before = "|".join(STREETS_BEFORE + [x.capitalize() for x in STREETS_BEFORE])
@@ -90,19 +92,21 @@ _ends = "|".join(re.escape(x) for x in STREET_ENDS)
 ADDRESSES = [
     re.compile(
         rf"""\d{{1,5}}(?:\ ?bis|\ ?ter|[A-Za-z])?,?\ (?:
-          (?:(?:[NSEW]\.|North|South|East|West)\ )?{CAP}(?:\ {CAP})?\ (?:{_after})\b
+          (?:(?:[NSEW]\.|North|South|East|West)\ )?(?:{CAP}\ )+?(?:{_after})\b(?!\ (?:{_after})\b)
         | (?:{_before})\ (?:(?:de\ la|de\ l['’]|du|des|de|del|d['’])\ ?)?{CAP}
         )""",
         re.X,
     ),
     re.compile(rf"(?:{_before})\ (?:(?:de\ la|del|de|du)\ )?{CAP},?\ \d{{1,5}}\b(?!\d)", re.X),
 ]
+#: German streets named by a place, told by the postal code behind the house number: "Unter den Linden 5, 10117 Berlin".
+ADDRESS_AT = re.compile(rf"\b(?:Am|An\ der|Auf\ (?:dem|der)|Hinter\ (?:dem|der)|Im|In\ (?:der|den)|Unter\ (?:dem|den|der)|Vor\ (?:dem|der)|Zum|Zur)(?:\ {CAP})+\ \d{{1,4}}[a-z]?(?=,?\ \d{{5}}\ {CAP})")
 ADDRESS_END = re.compile(rf"(?:{_ends})\ \d{{1,5}}[a-z]?\b")
 FLAT_BEFORE = re.compile(r"(?:Flat|Apt\.?|Apartment|Unit) \d{1,4}[A-Za-z]?, \Z")
 WORD_BEFORE = re.compile(r"[A-ZÄÖÜ]\w*\Z")
 
-#: Names longer than these bounds do not occur; without bounds long runs of letters would cost their square.
-TERM = r"[^\W\d_]{1,40}(?:[-'’][^\W\d_]{1,40}){0,3}"
+#: Possessive repeats: long runs of letters cost their length, not its square, whatever they are.
+TERM = r"[^\W\d_]++(?:[-'’][^\W\d_]++)*+"
 NAME = re.compile(  # one capital, then by looking ahead the rest of both terms, so that mentions may overlap
     rf"(?P<i>[A-ZÀ-ÖØ-Þ])(?<![\w@'’-].)(?=(?P<a>\.|{TERM})(?P<sep>,?[\ \n])(?:(?P<mid>[A-ZÀ-ÖØ-Þ]\.)[\ \n])?(?P<b>[A-ZÀ-ÖØ-Þ]{TERM})(?!\w))"
 )
@@ -117,8 +121,13 @@ def mail_addresses(text: str) -> list[tuple[int, int]]:
         domain = MAIL_DOMAIN.match(text, sign.end())
         web = domain and sign.re is MAIL_WORD and domain["domain"].lower().startswith("www")  # "available at www.acme.test"
         if domain and not web:
-            low = max(0, sign.start() - LOCAL_BOUND)
+            back = WINDOW
+            low = max(0, sign.start() - back)
             local = MAIL_LOCAL.search(text[low : sign.start()])
+            while local and local.start() == 0 and low:
+                back *= 2
+                low = max(0, sign.start() - back)
+                local = MAIL_LOCAL.search(text[low : sign.start()])
             if local:
                 out.append((low + local.start(), domain.end("domain")))
     return out
@@ -130,8 +139,13 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
         for m in pattern.finditer(text):
             flat = FLAT_BEFORE.search(text[max(0, m.start() - 20) : m.start()])
             yield m.start() - (len(flat.group()) if flat else 0), m.end()
+    for m in ADDRESS_AT.finditer(text):
+        yield m.span()
     for m in ADDRESS_END.finditer(text):
-        word = WORD_BEFORE.search(text[max(0, m.start() - 30) : m.start()])
+        start = m.start()
+        while start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+            start -= 1
+        word = WORD_BEFORE.search(text[start : m.start()])
         if word:
             yield m.start() - len(word.group()), m.end()
 
@@ -169,9 +183,9 @@ def identifiers(text: str) -> list[tuple[int, int, str]]:
         end = insurance.end() if insurance else m.end()
         while text[end - 1].isupper() and text[end : end + 1].islower():  # the next word's first letter
             end -= 1 if text[end - 2] not in " -" else 2
-        labelled = ID_LABEL_BEFORE.search(text[max(0, start - 45) : start])
+        labelled = ID_LABEL_BEFORE.search(text[max(0, start - LABEL_LENGTH) : start])
         if not labelled and prefix and prefix.group()[-1] == " ":  # a word such as "ID " is no part of the number
-            other = ID_LABEL_BEFORE.search(text[max(0, m.start() - 45) : m.start()])
+            other = ID_LABEL_BEFORE.search(text[max(0, m.start() - LABEL_LENGTH) : m.start()])
             start, labelled = (m.start(), other) if other else (start, None)
         digits = sum(map(str.isdigit, text[start:end]))
         bare = ID_BARE.match(text[start:end]) and loose(start, end)
@@ -295,11 +309,10 @@ def personal_spans(rows: DataFrame, key: str = "doc_id", text: str = "text", thr
 
     Kinds are email, phone, id_number, address and name; positions count
     characters from 0.  Null keys and null or empty texts give no row; repeated
-    rows give their rows again; an empty table gives none; extra columns are
-    ignored.
+    rows count once; an empty table gives none; extra columns are ignored.
     """
     found = materialise(scan(rows, key, text), "personal")
-    direct = found.filter(F.col("kind") != "name").select("id", "kind", "start", "end")
+    direct = found.filter(F.col("kind") != "name").select("id", "kind", "start", "end").distinct()
     pairs = found.filter(F.col("kind") == "name").select("id", "start", "end", "form", "given", "family", "cue")
     mail = found.filter(F.col("kind") == "email").select(F.explode(F.array("given", "family")).alias("term")).filter(F.length("term") > 2)
     mailed = mail.select("term", F.lit(True).alias("cue"))

@@ -293,6 +293,16 @@ def test_identifiers():
     assert [v for k, v in got if k == "address"] == ["Flat 11, 131 Kelvik Road", "209 boulevard du Quorvane", "Calle Kelmont 18", "Yarwynstr. 91", "771 W. Fenmont St"]
 
 
+def test_identifiers_of_any_length():
+    local = "a" * 900 + ".b"
+    text = f"Write to {local}@acme.test, 12 Martin Luther King Jr Boulevard, 5 Old Mill Creek Farm Road, Unter den Linden 5, 10117 Berlin or Am Alten Markt 7, 14467 Potsdam."
+    found = [(k, text[s:e]) for s, e, k in pii.identifiers(text)]
+    assert found == [("email", f"{local}@acme.test"), ("address", "12 Martin Luther King Jr Boulevard"), ("address", "5 Old Mill Creek Farm Road"), ("address", "Unter den Linden 5"), ("address", "Am Alten Markt 7")]
+    assert [text[s:e] for text in [f"Mr. {'A' + 'a' * 60} {'B' + 'b' * 60} left."] for s, e, *_ in pii.mentions(text, [])] == ["A" + "a" * 60 + " B" + "b" * 60]
+    for long_ in ("A" * 200_000, "Aa-" * 70_000, "Abc " * 50_000, "12 " + "Abc " * 50_000, "a" * 200_000 + "@", "1" * 200_000, "x@" * 60_000):
+        pii.mentions(long_, pii.identifiers(long_))
+
+
 def test_mail_addresses_in_words():
     texts = ["jo at acme.test", "jonas dot w at acme dot test", "JO AT acme Dot test", "jonas {dot} w (at) acme.test", " dot ".join("abcdefghijklmnopqr") + " at acme dot test"]
     for t in texts:

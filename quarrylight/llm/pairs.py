@@ -48,13 +48,15 @@ class Profile:
 
 
 def learn(texts: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Profile:
-    """The profile of labelled texts: ``sample`` of them, drawn by a hash of the key; rare labels are left out.
+    """The profile of labelled texts: about ``sample`` of them, those with the least hashes of their keys; rare labels are left out.
 
     Null texts, labels and keys take no part; an empty table gives a profile that knows no language.
     """
     label = F.lower(F.trim(lang))
-    known = texts.filter(F.col(key).isNotNull() & F.col(text).isNotNull() & (label != ""))
-    drawn = known.select(F.xxhash64(F.lit("language"), key).alias("at"), label.alias("lang"), F.lower(text).alias("text")).orderBy("at").limit(sample)
+    known = texts.filter(F.col(key).isNotNull() & (label != ""))
+    share = sample / max(sample, known.count())
+    chosen = F.pmod(F.xxhash64(F.lit("language"), key), F.lit(2**40)) < int(share * 2**40)
+    drawn = known.filter(chosen & F.col(text).isNotNull()).select(label.alias("lang"), F.lower(text).alias("text"))
     # a word, with the mark or line break behind it that ends its phrase if there is one
     found = F.regexp_extract_all("text", F.lit(r"\p{L}+(?:[.,;:!?…)\]\n|])?"), F.lit(0))
     each = drawn.select("lang", F.explode(found).alias("w")).select("lang", F.regexp_extract("w", r"^\p{L}+", 0).alias("word"), F.col("w").rlike(r"\P{L}").alias("ends"))

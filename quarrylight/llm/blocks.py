@@ -3,8 +3,10 @@
 Index structures (inverted files, tries) reduce a similarity join to buckets of
 rows that share a key.  ``bucket_units`` turns the buckets into work units of
 bounded size: a bucket of at most ``limit`` rows is one unit, a larger one is
-split into blocks of ``limit`` rows and every pair of blocks becomes a unit of
-its own, so that a hot key is spread over many tasks and no member is dropped.
+split into blocks of about ``limit`` rows and every pair of blocks becomes a
+unit of its own, so that a hot key is spread over many tasks and no member is
+dropped.  Keys that hold a large share of all rows (``hot_keys``) are split
+before they are shuffled for the first time.
 """
 
 from __future__ import annotations
@@ -28,29 +30,82 @@ def one_per(rows: DataFrame, key: str) -> DataFrame:
     return rows.filter(F.col(key).isNotNull()).withColumn("place", place).filter(F.col("place") == 1).drop("place")
 
 
+def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
+    """The batches, then a mark of the end."""
+    for batch in batches:
+        yield False, batch
+    yield True, None
+
+
+def hot_keys(rows: DataFrame, key: str, share: float = 1 / 512) -> DataFrame:
+    """``(hot, n)``: keys with about ``share`` of all rows or more, and about how many rows they have.
+
+    A key with such a share has it in some task: every task counts its keys and
+    gives those with half the share and the number of its rows, so only a few
+    rows are shuffled.  No rows of ``share`` or more are missed; at most
+    4 / share keys come out, which bounds the table for a broadcast.
+    """
+
+    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        held: list[np.ndarray] = []
+        for last, batch in ended(batches):
+            if batch is not None:
+                held.append(batch.column(0).drop_null().to_numpy())
+                total += len(held[-1])
+            if held and (last or sum(map(len, held)) > 2_000_000):
+                k, c = np.unique(np.concatenate(held), return_counts=True)
+                keys, where = np.unique(np.concatenate((keys, k)), return_inverse=True)
+                counts = np.bincount(where, np.concatenate((counts, c))).astype(np.int64)
+                if len(keys) > 2_000_000:  # what is met once in two millions has no share
+                    keys, counts = keys[counts > 1], counts[counts > 1]
+                held = []
+        if total:
+            top = counts >= max(2, share / 2 * total)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[top]), pa.array(counts[top])], ["hot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], ["hot", "n"])
+
+    found = rows.select(key).mapInArrow(heavy, "hot long, n long").groupBy("hot").agg(F.sum("n").alias("n"))
+    every = F.broadcast(found.filter(F.col("hot").isNull()).select(F.col("n").alias("every")))  # one row
+    return found.filter(F.col("hot").isNotNull()).join(every).filter(F.col("n") >= share / 4 * F.col("every")).drop("every")
+
+
+def with_blocks(rows: DataFrame, hot: DataFrame, key: str, order: str, limit: int) -> DataFrame:
+    """Adds ``blocks``, the number of blocks of a hot key (null for other keys), and ``blk``, the row's block."""
+    blocks = F.when(F.col("n") > limit, F.ceil(F.col("n") / limit).cast("int"))
+    near = rows.join(F.broadcast(hot), F.col(key) == F.col("hot"), "left")  # bounded, see hot_keys
+    return near.withColumn("blocks", blocks).withColumn("blk", F.coalesce(F.pmod(F.xxhash64(order), F.col("blocks")).cast("int"), F.lit(0))).drop("hot", "n")
+
+
 def bucket_units(rows: DataFrame, key: str, order: str, limit: int) -> DataFrame:
     """Rows of buckets with at least two members, plus ``u, v, blk``.
 
     ``(key, u, v)`` names the unit and ``blk`` the row's block in it (u or v).
     The result is sorted by unit inside each partition and a unit never spans
-    partitions.
+    partitions.  Keys are whole numbers.
     """
+
+    def units(big: DataFrame) -> DataFrame:
+        """Every row with every block of its bucket, the rows of a unit together."""
+        return (
+            big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select(*rows.columns, F.least("blk", "other").alias("u"), F.greatest("blk", "other").alias("v"), "blk")
+            .repartition(key, "u", "v")
+            .sortWithinPartitions(key, "u", "v")
+        )
+
+    marked = with_blocks(rows, hot_keys(rows, key), key, order, limit)
+    rest = marked.filter(F.col("blocks").isNull()).select(*rows.columns)
     w = W.partitionBy(key)
-    counted = rows.withColumn("pos", F.row_number().over(w.orderBy(order)) - 1).withColumn(
-        "n", F.count(F.lit(1)).over(w)
-    )
+    counted = rest.withColumn("pos", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     small = counted.filter(F.col("n").between(2, limit)).select(
         *rows.columns, F.lit(0).alias("u"), F.lit(0).alias("v"), F.lit(0).alias("blk")
     )
-    big = (
-        counted.filter(F.col("n") > limit)
-        .withColumn("blk", (F.col("pos") / limit).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / limit).cast("int"))))
-        .select(*rows.columns, F.least("blk", "other").alias("u"), F.greatest("blk", "other").alias("v"), "blk")
-        .repartition(key, "u", "v")
-        .sortWithinPartitions(key, "u", "v")
+    large = counted.filter(F.col("n") > limit).withColumns(
+        {"blk": (F.col("pos") / limit).cast("int"), "blocks": F.ceil(F.col("n") / limit).cast("int")}
     )
-    return small.unionByName(big)
+    columns = [*rows.columns, "blocks", "blk"]
+    return small.unionByName(units(large.select(*columns).unionByName(marked.filter(F.col("blocks").isNotNull()).select(*columns))))
 
 
 def whole_units(batches: Iterator[pa.RecordBatch], key: str, rows: int = 50_000) -> Iterator[pa.Table]:

@@ -29,7 +29,11 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``(node, root)`` of every node in ``links(a, b)``; the root is the least node of its component."""
+    """``(node, root)`` of every node in ``links(a, b)``; the root is the least node of its component.
+
+    Raises an error if the components have not settled after ``rounds``, which
+    would take a component of some 2^rounds nodes.
+    """
     edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     state = None
     for _ in range(rounds):
@@ -38,6 +42,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if seen == state:
             break
         state = seen
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.blocks import binary_rows, bucket_units, fixed_bytes, one_per, unit_starts, whole_units
+from quarrylight.llm.blocks import binary_rows, bucket_units, fixed_bytes, hot_keys, one_per, unit_starts, whole_units, with_blocks
 
 TOKEN = "[a-z0-9]+"
 WORDS = 8  # words of 16 bits in a code
@@ -261,11 +261,30 @@ def similar_pairs(rows: DataFrame, key: str, text: str = "text", n: int = 5, thr
     what its definition asks for; ``similar_groups`` is the compact form.
     """
     ids = members(rows, key, text, max(n, min_tokens))
-    links = similar_classes(rows, text, n, threshold, min_tokens)
-    a = ids.select(F.col("id").alias("x"), F.col("class").alias("class_a"))
-    b = ids.select(F.col("id").alias("y"), F.col("class").alias("class_b"))
-    across = links.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").select("x", "y")
-    left, right = ids.toDF("x", "class"), ids.toDF("y", "class")
-    copies = left.join(right, "class").filter(F.col("x") < F.col("y")).select("x", "y")
-    found = across.filter(F.col("x") != F.col("y")).unionByName(copies)
+    links = similar_classes(rows, text, n, threshold, min_tokens).select("class_a", "class_b")
+    across = linked_members(links, ids)
+    found = across.filter(F.col("x") != F.col("y")).unionByName(copies(ids))
     return found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def linked_members(links: DataFrame, ids: DataFrame, limit: int = 4096) -> DataFrame:
+    """``(x, y)``: the members of linked classes.  Members of a hot class are spread over blocks, and its links go to each."""
+    hot = hot_keys(ids, "class")
+    placed = with_blocks(ids, hot, "class", "id", limit).select("id", "class", "blk")
+    for side in ("class_a", "class_b"):
+        marked = links.join(F.broadcast(hot), F.col(side) == F.col("hot"), "left")  # bounded, see hot_keys
+        last = F.when(F.col("n") > limit, F.ceil(F.col("n") / limit).cast("int") - 1).otherwise(0)
+        links = marked.withColumn(f"{side}_blk", F.explode(F.sequence(F.lit(0), last))).drop("hot", "n")
+    for side, name in (("class_a", "x"), ("class_b", "y")):
+        own = placed.select(F.col("id").alias(name), F.col("class").alias(side), F.col("blk").alias(f"{side}_blk"))
+        links = links.join(own, [side, f"{side}_blk"])
+    return links.select("x", "y")
+
+
+def copies(ids: DataFrame, limit: int = 2048) -> DataFrame:
+    """``(x, y)``: every two members of one class, a block of members against a block at a time."""
+    units = bucket_units(ids.select("class", "id"), "class", "id", limit)
+    unit = ["class", "u", "v"]
+    left = units.filter(F.col("blk") == F.col("u")).select(*unit, F.col("id").alias("x"))
+    right = units.filter(F.col("blk") == F.col("v")).select(*unit, F.col("id").alias("y"))
+    return left.join(right, unit).filter((F.col("u") != F.col("v")) | (F.col("x") < F.col("y"))).select("x", "y")

@@ -62,6 +62,8 @@ def test_groups_against_union_find(spark, similar_texts):
     assert got == {k: (find(k), sum(k in p for p in found)) for k in root}
     assert groups.similar_groups(rows.limit(0), "k", "text", 3, 0.6, 20).count() == 0
     chain = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        groups.components(chain, 2)
     assert {tuple(r) for r in groups.components(chain).collect()} == {(i, 0) for i in range(101)} | {(500, 500), (501, 500)}
 
 
@@ -72,6 +74,22 @@ def test_hot_buckets_are_split_and_whole(spark, similar_texts):
     assert wide == small
 
 
+def test_hot_keys_are_split_before_the_shuffle(spark):
+    rows = spark.createDataFrame([(7, i) for i in range(3000)] + [(100 + i // 2, 5000 + i) for i in range(1000)] + [(None, 1)], "key long, id long").repartition(5)
+    hot = {r.hot: r.n for r in blocks.hot_keys(rows, "key").collect()}
+    assert hot == {7: 3000} and blocks.hot_keys(rows.limit(0), "key").count() == 0
+    units = blocks.bucket_units(rows, "key", "id", 500).collect()
+    sizes = {}
+    for r in units:
+        sizes[r.key, r.u, r.v] = sizes.get((r.key, r.u, r.v), 0) + 1
+    assert len([k for k in sizes if k[0] == 7]) == 21 and max(sizes.values()) < 1300 and len(sizes) == 521
+    pairs_ = near_dup.copies(rows.select(F.col("key").alias("class"), "id").filter("class IS NOT NULL"), 500)
+    assert pairs_.count() == pairs_.distinct().count() == 3000 * 2999 // 2 + 500
+    links = spark.createDataFrame([(7, 100), (100, 101)], "class_a long, class_b long")
+    across = near_dup.linked_members(links, rows.select(F.col("key").alias("class"), "id").filter("class IS NOT NULL"), 500)
+    assert across.count() == across.distinct().count() == 3000 * 2 + 4
+
+
 def test_trie_join_against_all_pairs():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 65536, (60, 8)).astype(np.uint16)

@@ -1,14 +1,16 @@
 """Encoding of whole texts with a public byte-level BPE tokenizer.
 
-Method: overlapping chunk encoding.  A text longer than one chunk is cut into
-chunks that overlap, so that the chunks of one text are encoded in parallel.
-Each chunk is pre-tokenised on its own.  Pre-tokenisation runs from left to
-right and looks ahead by one character only, so once two neighbouring chunks
-have a pre-token boundary in common inside their overlap, they agree from there
-on: the text is cut at that boundary, where no token spans it, and the pieces
-are encoded apart.  Where no boundary resynchronises inside an overlap (one run
-longer than the overlap) the pieces on both sides are joined before encoding.
-Decoding concatenates the tokens' raw bytes.
+Method: overlapping chunk encoding.  A text is cut into chunks that overlap, so
+that the chunks of one text are encoded in parallel; a text of one chunk has no
+neighbours and is encoded where it is read.  Each chunk is pre-tokenised on its
+own.  Pre-tokenisation runs from left to right and looks ahead by one character
+only, so once two neighbouring chunks have a pre-token boundary in common
+inside their overlap, they agree from there on: the text is cut at that
+boundary, where no token spans it, and the pieces are encoded apart.  A chunk
+travels with its predecessor, so its task finds both of its cuts and no text is
+moved twice.  Where no boundary resynchronises inside an overlap (one run
+longer than the overlap) the pieces on both sides stay text and are joined
+before they are encoded.  Decoding concatenates the tokens' raw bytes.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def encode(
     Null and empty texts give an empty list; blanks and all other characters
     are encoded as stored; strings that look like special tokens are ordinary
     text.  One result row per input row, repeats included; a null key is kept.
-    Texts up to ``chunk`` characters take one step without a shuffle.
+    The work is linear in the length of a text.
     """
     kind = rows.schema[key].dataType.simpleString()
 
@@ -90,23 +92,64 @@ def encode(
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), id_arrays(texts, encoder)], ["id", "ids"])
 
-    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The position in the whole text at which each chunk's successor takes over."""
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every chunk behind its predecessor and before its overlap, some 2 MB of text at a time."""
         for batch in batches:
-            at = []
-            for i, text_, after in zip(*(batch.column(c).to_pylist() for c in ("i", "piece", "after"))):
-                if after is None:
-                    at.append(None)
-                else:
-                    found = resynchronised(text_, after, chunk)
-                    at.append(None if found is None else i * chunk + found)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("i"), pa.array(at, pa.int64())], ["row", "i", "cut"])
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                count = -(-len(t) // chunk)
+                for first in range(0, count, 256):
+                    numbers = range(first, min(first + 256, count))
+                    held = [t[max(0, i - 1) * chunk : (i + 1) * chunk + overlap] for i in numbers]
+                    last = [(i + 1) * chunk >= len(t) for i in numbers]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row] * len(held), pa.int64()), pa.array(numbers, pa.int32()), pa.array(held), pa.array(last)], ["row", "i", "held", "last"]
+                    )
+
+    def cut(left: str, right: str) -> int | None:
+        """Where the chunk ``right`` takes over from ``left`` (both with their overlaps), as a position in ``right``."""
+        at = resynchronised(left, right[:overlap], chunk)
+        return None if at is None else at - chunk
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chunk's part of the text, encoded, or as text if a cut of it is missing."""
         encoder = encoding(folder, vocabulary)
         for batch in batches:
-            ids = id_arrays(batch.column("piece").to_pylist(), encoder)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("i"), ids], ["row", "i", "ids"])
+            parts, raw = [], []
+            for i, held, last in zip(*(batch.column(c).to_pylist() for c in ("i", "held", "last"))):
+                own = held[chunk:] if i else held
+                start = cut(held[: chunk + overlap], own) if i else 0
+                end = None
+                if not last:
+                    after = cut(own, own[chunk:])
+                    end = chunk if after is None else chunk + after
+                whole_ = start is not None and (last or after is not None)
+                parts.append(own[start or 0 : end])
+                raw.append(not whole_)
+            ids = id_arrays(["" if r else p for p, r in zip(parts, raw)], encoder)
+            texts = pa.array([p if r else None for p, r in zip(parts, raw)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("i"), ids, texts], ["row", "i", "ids", "raw"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The parts of a text in order, neighbouring parts that are still text encoded as one."""
+        encoder = encoding(folder, vocabulary)
+        for batch in batches:
+            for row, parts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                order, ids, raw = (parts.values.field(c) for c in range(3))
+                out, text_ = [], []
+                for p, t in enumerate(raw.to_pylist()):
+                    if t is not None:
+                        text_.append(t)
+                        continue
+                    if text_:
+                        out.append(id_arrays(["".join(text_)], encoder).values)
+                        text_ = []
+                    out.append(ids[p].values)
+                if text_:
+                    out.append(id_arrays(["".join(text_)], encoder).values)
+                merged = pa.concat_arrays(out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(merged)], pa.int32()), merged)], ["row", "ids"]
+                )
 
     source = rows.select(F.col(key).alias("id"), F.col(text).alias("text"))
     size = F.length("text")
@@ -115,28 +158,11 @@ def encode(
 
     # the row id is the key and the text's own hash: the same in every re-run of a task
     long_ = source.filter(size > chunk).withColumn("row", F.xxhash64("id", "text"))
-    pos = F.col("i") * chunk
-    chunks = long_.withColumn("i", F.explode(F.sequence(F.lit(0), ((size - 1) / chunk).cast("int")))).select(
-        "row",
-        "i",
-        F.expr(f"substring(text, i * {chunk} + 1, {chunk + overlap})").alias("piece"),
-        F.when(pos + chunk < size, F.expr(f"substring(text, (i + 1) * {chunk} + 1, {overlap})")).alias("after"),
-    )
-    found = chunks.distinct().repartition("row", "i").mapInArrow(cuts, "row long, i int, cut long").filter("cut IS NOT NULL")
-    spans = found.groupBy("row").agg(F.sort_array(F.collect_set("cut")).alias("cuts"))
-    held = long_.join(spans, "row", "left").withColumn(
-        "starts", F.concat(F.array(F.lit(0).cast("long")), F.coalesce("cuts", F.expr("CAST(array() AS array<bigint>)")))
-    )
-    cut = held.select("row", "text", "starts", F.posexplode("starts").alias("i", "start")).select(
-        "row",
-        "i",
-        F.expr("substring(text, CAST(start AS int) + 1, CAST(coalesce(try_element_at(starts, i + 2), length(text)) - start AS int))").alias("piece"),
-    )
-    encoded = cut.distinct().repartition("row", "i").mapInArrow(pieces, "row long, i int, ids array<int>")
-    joined = encoded.groupBy("row").agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids")
-    )
-    stitched = long_.select("id", "row").join(joined, "row").select("id", "ids")
+    spread = long_.select("row", "text").mapInArrow(chunks, "row long, i int, held string, last boolean").dropDuplicates(["row", "i"])
+    parts = spread.mapInArrow(pieces, "row long, i int, ids array<int>, raw string")
+    listed = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "ids", "raw"))).alias("parts"))
+    encoded = listed.mapInArrow(joined, "row long, ids array<int>")
+    stitched = long_.select("id", "row").join(encoded, "row").select("id", "ids")
     return direct.unionByName(stitched)
 
 

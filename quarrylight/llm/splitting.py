@@ -6,8 +6,8 @@ line, sentence, clause, blank), each consuming as much as the limit allows,
 with single characters as the fallback.  The overlap is found by looking back
 from each cut with array functions.  Everything runs inside the JVM.
 
-Settings per filing are joined on, so texts move once, and only those longer
-than the smallest limit in force.
+The work is linear in the length of a text.  Settings per filing are joined on,
+so texts move once, and only those longer than the smallest limit in force.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 BLANK = r"[ \t\n\r]"
 DEFAULT_SIZE, DEFAULT_OVERLAP = 1200, 150
+RUN = 256  # pieces whose lengths are summed at once
 
 
 def settings_in_force(log: DataFrame) -> DataFrame:
@@ -66,22 +67,34 @@ def pieces_of(text: Column, size: Column, overlap: Column) -> Column:
     none = F.expr("CAST(array() AS array<struct<start:int,piece:string,forced:boolean>>)")
 
     def placed(bodies: Column) -> Column:
-        running = F.aggregate(bodies, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
-        return bind(running, lambda ends: F.transform(F.sequence(F.lit(2), F.size(ends)), lambda i: piece(ends, i)))
-
-    def piece(ends: Column, i: Column) -> Column:
-        begin, end = F.element_at(ends, i - 1), F.element_at(ends, i)
-        before = F.when(i > 2, begin - F.element_at(ends, i - 2)).otherwise(0)
-        room = F.least(overlap, size - (end - begin), before)
-        back = F.substring(text, begin - room + 1, room)
-        joins_word = (room > 0) & (begin > room) & ~F.substring(text, begin - room, F.lit(1)).rlike(BLANK)
+        sizes = F.transform(bodies, lambda x: F.length(x))
+        # running sums in two levels, so that no array is built anew for every piece
+        sums = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+        runs = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / RUN).cast("int")), lambda g: sums(F.slice(z, g * RUN + 1, F.lit(RUN))))
+        starts = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda g: sums(F.slice(t, F.lit(1), g)))
+
+        def each(z: Column, before: Column) -> Column:
+            def begin(i: Column) -> Column:
+                group = F.floor((i - 1) / RUN).cast("int")
+                return F.element_at(before, group + 1) + sums(F.slice(z, group * RUN + 1, i - 1 - group * RUN))
+
+            return F.transform(F.sequence(F.lit(1), F.size(z)), lambda i: piece(bodies, i, begin(i)))
+
+        return bind(sizes, lambda z: bind(runs(z), lambda t: bind(starts(t), lambda before: each(z, before))))
+
+    def piece(bodies: Column, i: Column, begin: Column) -> Column:
+        """The i-th body behind the end of the one before it; only it and its neighbours are looked at."""
+        body = F.element_at(bodies, i)
+        before = F.coalesce(F.try_element_at(bodies, F.nullif(i - 1, F.lit(0))), F.lit(""))
+        earlier = F.coalesce(F.try_element_at(bodies, F.when(i > 2, i - 2)), F.lit(""))
+        room = F.least(overlap, size - F.length(body), F.length(before))
+        back = F.when(room > 0, F.right(before, room)).otherwise("")
+        ahead = F.when(room < F.length(before), F.substring(before, F.length(before) - room, F.lit(1))).otherwise(F.right(earlier, F.lit(1)))
+        joins_word = (room > 0) & (ahead != "") & ~ahead.rlike(BLANK)
         kept = F.when(joins_word & back.rlike(BLANK), F.regexp_replace(back, rf"\A[^ \t\n\r]*{BLANK}", "")).otherwise(back)
-        cut = ~F.substring(text, end, F.lit(1)).rlike(BLANK) & F.substring(text, end + 1, F.lit(1)).rlike(r"[^ \t\n\r]")
-        return F.struct(
-            (begin - F.length(kept)).alias("start"),
-            F.concat(kept, F.substring(text, begin + 1, end - begin)).alias("piece"),
-            cut.alias("forced"),
-        )
+        follows = F.coalesce(F.try_element_at(bodies, i + 1), F.lit(""))
+        cut = ~F.right(body, F.lit(1)).rlike(BLANK) & F.left(follows, F.lit(1)).rlike(r"[^ \t\n\r]")
+        return F.struct((begin - F.length(kept)).alias("start"), F.concat(kept, body).alias("piece"), cut.alias("forced"))
 
     found = F.regexp_extract_all(text, cutting_pattern(size, overlap), F.lit(0))
     return bind(found, lambda bodies: F.when(F.size(bodies) > 0, placed(bodies)).when(F.size(bodies) == 0, none))

@@ -37,13 +37,22 @@ def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBa
     yield True, None
 
 
-def hot_keys(rows: DataFrame, key: str, share: float = 1 / 512) -> DataFrame:
+PROBED = 16  # one row of so many tells the hot keys where finding the keys is costly
+
+
+def probe(rows: DataFrame, column: str) -> DataFrame:
+    """One row of ``PROBED``, by a hash of a column.  It only decides how work is cut, never what is found."""
+    return rows.filter(F.pmod(F.xxhash64(column), F.lit(PROBED)) == 0)
+
+
+def hot_keys(rows: DataFrame, key: str, share: float = 1 / 512, times: int = 1) -> DataFrame:
     """``(hot, n)``: keys with about ``share`` of all rows or more, and about how many rows they have.
 
     A key with such a share has it in some task: every task counts its keys and
     gives those with half the share and the number of its rows, so only a few
-    rows are shuffled.  No rows of ``share`` or more are missed; at most
-    4 / share keys come out, which bounds the table for a broadcast.
+    rows are shuffled.  At most 4 / share keys come out, which bounds the table
+    for a broadcast.  ``times`` multiplies the numbers where the rows are a
+    ``probe``; a key that a probe misses is split after its first shuffle.
     """
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,8 +75,8 @@ def hot_keys(rows: DataFrame, key: str, share: float = 1 / 512) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], ["hot", "n"])
 
     found = rows.select(key).mapInArrow(heavy, "hot long, n long").groupBy("hot").agg(F.sum("n").alias("n"))
-    every = F.broadcast(found.filter(F.col("hot").isNull()).select(F.col("n").alias("every")))  # one row
-    return found.filter(F.col("hot").isNotNull()).join(every).filter(F.col("n") >= share / 4 * F.col("every")).drop("every")
+    few = found.withColumn("every", F.sum(F.when(F.col("hot").isNull(), F.col("n"))).over(W.partitionBy()))  # 2 / share rows a task at most
+    return few.filter(F.col("hot").isNotNull() & (F.col("n") >= share / 4 * F.col("every"))).select("hot", (F.col("n") * times).alias("n"))
 
 
 def with_blocks(rows: DataFrame, hot: DataFrame, key: str, order: str, limit: int) -> DataFrame:
@@ -77,12 +86,12 @@ def with_blocks(rows: DataFrame, hot: DataFrame, key: str, order: str, limit: in
     return near.withColumn("blocks", blocks).withColumn("blk", F.coalesce(F.pmod(F.xxhash64(order), F.col("blocks")).cast("int"), F.lit(0))).drop("hot", "n")
 
 
-def bucket_units(rows: DataFrame, key: str, order: str, limit: int) -> DataFrame:
+def bucket_units(rows: DataFrame, key: str, order: str, limit: int, hot: DataFrame | None = None) -> DataFrame:
     """Rows of buckets with at least two members, plus ``u, v, blk``.
 
     ``(key, u, v)`` names the unit and ``blk`` the row's block in it (u or v).
     The result is sorted by unit inside each partition and a unit never spans
-    partitions.  Keys are whole numbers.
+    partitions.  Keys are whole numbers; ``hot`` holds the hot ones, if known.
     """
 
     def units(big: DataFrame) -> DataFrame:
@@ -94,7 +103,7 @@ def bucket_units(rows: DataFrame, key: str, order: str, limit: int) -> DataFrame
             .sortWithinPartitions(key, "u", "v")
         )
 
-    marked = with_blocks(rows, hot_keys(rows, key), key, order, limit)
+    marked = with_blocks(rows, hot_keys(rows, key) if hot is None else hot, key, order, limit)
     rest = marked.filter(F.col("blocks").isNull()).select(*rows.columns)
     w = W.partitionBy(key)
     counted = rest.withColumn("pos", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.blocks import binary_rows, bucket_units, fixed_bytes, hot_keys, one_per, unit_starts, whole_units, with_blocks
+from quarrylight.llm.blocks import PROBED, binary_rows, bucket_units, fixed_bytes, hot_keys, one_per, probe, unit_starts, whole_units, with_blocks
 
 TOKEN = "[a-z0-9]+"
 WORDS = 8  # words of 16 bits in a code
@@ -167,8 +167,8 @@ def trie_self_join(group: np.ndarray, words: np.ndarray, budget: int) -> tuple[n
     return i[keep], j[keep]
 
 
-def trie_pairs(rows: DataFrame, budget: int, block: int) -> DataFrame:
-    """Candidate pairs ``(class_a, class_b)`` that share a trie within the budget."""
+def trie_pairs(rows: DataFrame, budget: int, block: int, hot: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs ``(class_a, class_b)`` that share a trie within the budget; ``hot`` as in ``blocks.bucket_units``."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_units(batches, "key"):
@@ -186,7 +186,7 @@ def trie_pairs(rows: DataFrame, budget: int, block: int) -> DataFrame:
             both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["class_a", "class_b"])
 
-    units = bucket_units(rows, "key", "class", block)
+    units = bucket_units(rows, "key", "class", block, hot)
     return units.mapInArrow(join, "class_a long, class_b long").distinct()
 
 
@@ -239,7 +239,8 @@ def similar_classes(
     mean = minhashes * (1 - threshold)
     budget = int(mean + 3 * np.sqrt(minhashes * ((1 - threshold) * 1.5 - (1 - threshold) ** 2)) + 0.5)
     sets = ngram_sets(rows, text, n, min_tokens)
-    candidates = trie_pairs(trie_rows(sets, bands, band_rows), budget, block)
+    hot = hot_keys(trie_rows(probe(sets, "grams"), bands, band_rows), "key", 1 / (512 * bands), PROBED)
+    candidates = trie_pairs(trie_rows(sets, bands, band_rows), budget, block, hot)
     return exact_pairs(candidates, sets, threshold)
 
 

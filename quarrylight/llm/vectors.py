@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrylight.llm.blocks import binary_rows, bucket_units, fixed_bytes, one_per, ragged_pairs, unit_starts, whole_units
+from quarrylight.llm.blocks import PROBED, binary_rows, bucket_units, fixed_bytes, hot_keys, one_per, probe, ragged_pairs, unit_starts, whole_units
 from quarrylight.session import materialise
 
 SCALE = 32767  # vectors are held in 16-bit fixed point: similarities are right to about 1e-5
@@ -159,7 +159,7 @@ def within_reach(owner: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -
 
 
 def file_pairs(
-    posted: DataFrame, width: int, prefix: int, post: int, m: int, k: int, max_footrule: int | None, least: float | None, block: int
+    posted: DataFrame, width: int, prefix: int, post: int, m: int, k: int, max_footrule: int | None, least: float | None, block: int, hot: DataFrame
 ) -> DataFrame:
     """``(a, b, low, high)`` with a < b: the pairs of each file that are worth reranking, and bounds of their distance.
 
@@ -211,7 +211,7 @@ def file_pairs(
                     [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(low[ok]), pa.array(high[ok])], ["a", "b", "low", "high"]
                 )
 
-    units = bucket_units(posted, "key", "class", block)
+    units = bucket_units(posted, "key", "class", block, hot)
     return units.mapInArrow(compare, "a long, b long, low short, high short")
 
 
@@ -316,7 +316,8 @@ def indexed_near(
         if max_footrule is None:
             prefix = post  # the later places name no file
         posted = postings(classes, chosen, width, prefix, post)
-        pairs = file_pairs(posted, width, prefix, post, len(chosen), k, max_footrule, min_similarity, block)
+        hot = hot_keys(postings(probe(classes, "vec"), chosen, width, prefix, post), "key", times=PROBED)
+        pairs = file_pairs(posted, width, prefix, post, len(chosen), k, max_footrule, min_similarity, block, hot)
     else:  # fewer than two different vectors, so no pair of classes
         alone = classes.select(F.col("class").alias("a"))
         pairs = alone.withColumn("b", F.col("a")).withColumn("low", F.lit(0)).withColumn("high", F.lit(0)).limit(0)

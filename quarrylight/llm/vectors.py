@@ -105,7 +105,7 @@ def file_keys(perm: np.ndarray, post: int, m: int) -> np.ndarray:
 
 
 def postings(classes: DataFrame, pivots: np.ndarray, width: int, prefix: int, post: int) -> DataFrame:
-    """``(key, class, perm, q)``: one row per inverted file a vector is posted in."""
+    """``(key, class, packed)``: one row per inverted file a vector is posted in; packed holds its permutation and its 8-bit vector."""
     m = len(pivots)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +117,11 @@ def postings(classes: DataFrame, pivots: np.ndarray, width: int, prefix: int, po
             top = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix]
             order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
             perm = np.take_along_axis(top, order, 1).astype(np.uint16)
-            perms, qs = binary_rows(perm), binary_rows(coarse(matrix))
+            both = binary_rows(np.concatenate((perm.view(np.uint8), coarse(matrix).view(np.uint8)), axis=1))
             for key in file_keys(perm, post, m).T:
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), perms, qs], ["key", "class", "perm", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), both], ["key", "class", "packed"])
 
-    return classes.mapInArrow(rows, "key long, class long, perm binary, q binary")
+    return classes.mapInArrow(rows, "key long, class long, packed binary")
 
 
 def coarse(matrix: np.ndarray) -> np.ndarray:
@@ -171,8 +171,8 @@ def file_pairs(
         for part in whole_units(batches, "key"):
             starts = unit_starts(part, "key")
             ends = np.append(starts[1:], part.num_rows)
-            perm = fixed_bytes(part.column("perm"), prefix * 2).copy().view(np.uint16)
-            q = fixed_bytes(part.column("q"), width).copy().view(np.int8)
+            packed = fixed_bytes(part.column("packed"), prefix * 2 + width)
+            perm, q = packed[:, : prefix * 2].copy().view(np.uint16), packed[:, prefix * 2 :].copy().view(np.int8)
             length, moved = coarse_lengths(q)
             files = np.sort(file_keys(perm, post, m), axis=1)
             key, classes, u, v, blk = (part.column(c).to_numpy() for c in ("key", "class", "u", "v", "blk"))
@@ -222,7 +222,8 @@ def best_pairs(pairs: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(W.partitionBy("owner").orderBy("high"))
     bound = F.max(F.when(F.col("place") <= k, F.col("high"))).over(W.partitionBy("owner"))
     near = both.withColumn("place", place).withColumn("bound", bound).filter(F.col("low") <= F.col("bound"))
-    return near.select(F.least("owner", "other").alias("a"), F.greatest("owner", "other").alias("b")).distinct()
+    kept = near.select(F.least("owner", "other").alias("a"), F.greatest("owner", "other").alias("b"))
+    return kept.repartition("a").dropDuplicates(["a", "b"])  # laid out for the join on a that follows
 
 
 def rerank(pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,20 +23,29 @@ def split_recursively(text: str, size: int, overlap: int, separators: list[str]
     raw = list(text) if sep == "" else text.split(sep)
     parts = [p if i == 0 or sep == "" else sep + p for i, p in enumerate(raw)]
     out: list[str] = []
-    run: list[str] = []
+    run: deque[str] = deque()
+    held = 0  # characters in the run
+
+    def close() -> None:
+        nonlocal held
+        if run:
+            out.append("".join(run))
+            run.clear()
+            held = 0
+
     for part in (p for p in parts if p):
         if len(part) > size and finer:
-            if run:
-                out.append("".join(run))
-                run = []
+            close()
             out += split_recursively(part, size, overlap, finer)
             continue
-        if run and sum(map(len, run)) + len(part) > size:
+        if run and held + len(part) > size:
             out.append("".join(run))
-            while run and (sum(map(len, run)) > overlap or sum(map(len, run)) + len(part) > size):
-                run.pop(0)
+            while run and (held > overlap or held + len(part) > size):
+                held -= len(run.popleft())
         run.append(part)
-    return out + ["".join(run)] if run else out
+        held += len(part)
+    close()
+    return out
 
 
 def chunk_texts(text: str, size: int, overlap: int) -> list[str]:

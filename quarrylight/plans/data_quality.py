@@ -21,5 +21,12 @@ def p3_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return amounts.select(F.col("id").alias("input_id"), "residual", "solutions", (F.col("solutions") > 1).alias("not_unique"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_solutions)}
+def p3_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of one filing and year tied by an identity: the units that fit it best, and whether they are the only ones."""
+    inputs = table(spark, sf_dir, "calc_inputs").filter(F.trim("chunk_id") != "")
+    placed = inputs.withColumn("filing", F.split_part("chunk_id", F.lit("_"), F.lit(1))).withColumn("year", F.nullif(F.regexp_extract("label", "(FY[0-9]{4})", 1), F.lit("")))
+    return units.joint_amounts(placed, table(spark, sf_dir, "calc_measures"), ["filing", "year"])
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_solutions, p3_identities)}
 SQL: dict[str, str] = {}

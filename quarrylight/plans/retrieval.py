@@ -65,6 +65,7 @@ def question_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(T.preferred_sections(c), ",").alias("sections"),
         T.prefers_tables(c).alias("tables"),
         T.conditional_zero(c).alias("conditional_zero"),
+        T.zero_instruction(c).alias("instruction"),
         F.array_join(T.years(c).cast("array<string>"), ",").alias("years"),
     )
 
@@ -236,7 +237,8 @@ SQL = {
     "query_variants": f"WITH {O.QUESTIONS}, {O.VARIANTS} SELECT query_id, list_no, query FROM variants",
     "question_flags": f"""WITH {O.QUESTIONS} SELECT query_id, array_to_string({O.preferred("question")}, ',') AS sections,
         regexp_matches({O.fold("question")}, {O.quoted(T.TABLE_CUE)}) AS tables,
-        regexp_matches({O.fold("question")}, {O.quoted(T.ZERO_CUE)}) AS conditional_zero, array_to_string({O.years("question")}, ',') AS years FROM q""",
+        regexp_matches({O.fold("question")}, {O.quoted(T.ZERO_CUE)}) AS conditional_zero,
+        CASE WHEN regexp_matches({O.fold("question")}, {O.quoted(T.ZERO_CUE)}) THEN {O.quoted(T.ZERO_INSTRUCTION)} ELSE {O.quoted(T.NO_ZERO_INSTRUCTION)} END AS instruction, array_to_string({O.years("question")}, ',') AS years FROM q""",
     "infer_filters": f"WITH {O.QUESTIONS}, {O.FILTERS} SELECT * FROM filters",
     "filter_merge": f"""WITH {O.CORPUS}, {_STATED}, {_INFERRED}, {_MERGED} SELECT * FROM filters""",
     "filter_relaxation": f"""WITH {O.CORPUS}, {_STATED}, {_INFERRED}, {_MERGED}, {_REACH}

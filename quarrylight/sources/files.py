@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -20,12 +21,19 @@ QUESTION = (
     "financebench_id string, question_id string, company string, doc_name string, question_type string, question string, answer string, "
     "justification string, evidence array<struct<doc_name:string,evidence_page_num:string,evidence_text:string>>"
 )
+REPORT = (
+    "question_id string, question string, status string, gold_answer string, predicted_answer string, citation_coverage double, citation_validity double, "
+    "faithfulness double, answer_relevancy double, answer_correctness double, context_precision double, context_recall double, latency_ms double, "
+    "retry_count int, error string"
+)
 PAGE = "page int, text string, tables array<string>"
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows and rejected lines of a JSON lines file; blank lines are skipped."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    """Good rows and rejected lines of a JSON lines file or folder; blank lines are skipped, a missing file is empty."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+    lines = (spark.read.text(path) if known else spark.createDataFrame([], "value string")).filter(F.trim("value") != "")
     full = f"{schema}, _corrupt_record string"
     parsed = lines.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     good = parsed.filter(F.col("r._corrupt_record").isNull() & F.startswith(F.ltrim("value"), F.lit("{")))
@@ -34,8 +42,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Document metadata under any of its column names; rows without an id are dropped."""
+    """Document metadata under any of its column names, the first line of each id; rows without an id are dropped."""
     rows, _ = read_json_lines(spark, path, DOCUMENT)
+    rows = rows.withColumn("line", F.monotonically_increasing_id())
     first = lambda *names: F.coalesce(*[F.nullif(F.trim(n), F.lit("")) for n in names])
     return rows.select(
         first("doc_id", "doc_name").alias("doc_id"),
@@ -46,7 +55,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         "source_path",
         first("source_url", "doc_link", "url").alias("source_url"),
         "num_pages",
-    ).filter(F.col("doc_id").isNotNull())
+        F.row_number().over(W.partitionBy(first("doc_id", "doc_name")).orderBy("line")).alias("nth"),
+    ).filter(F.col("doc_id").isNotNull() & (F.col("nth") == 1)).drop("nth")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:

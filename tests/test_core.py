@@ -204,6 +204,24 @@ def test_units(spark):
     assert units.common_amounts(rows.limit(0), measures).count() == 0
 
 
+def test_units_by_identities(spark):
+    kinds = {"eps_diluted": "per_share", "shares_outstanding": "shares", "net_income": "money", "revenue": "money", "cost_of_revenue": "money", "gross_margin": "share"}
+    measures = spark.createDataFrame([(n, k, "x") for n, k in kinds.items()], "name string, quantity_kind string, common_unit string")
+    rows = [
+        # 2 USD a share x 3 million shares = 6 million USD; the income's column unit lacks the scale that its text gives
+        (1, "eps_diluted", 2.0, "USD/share", None, "p"), (2, "shares_outstanding", 3e6, "shares", None, "p"), (3, "net_income", 6.0, "USD", "Net income 6 million", "p"),
+        (4, "revenue", 10.0, "USD million", None, "q"), (5, "cost_of_revenue", 7.0, "USD million", None, "q"), (6, "gross_margin", 30.0, "%", None, "q"),
+        (7, "revenue", 10.0, "USD", None, "r"), (8, "cost_of_revenue", 9.0, "USD", None, "r"), (9, "gross_margin", 30.0, "%", None, "r"),
+        (10, "revenue", 10.0, "USD", None, None), (11, "revenue", 1.0, "USD", None, "s"),
+    ]
+    df = spark.createDataFrame(rows, "input_id long, name string, value double, unit string, source_text string, chunk_id string")
+    got = {r.chunk_id: r for r in units.joint_amounts(df.unionByName(df), measures, ["chunk_id"]).collect()}
+    assert set(got) == {"p", "q", "r"}
+    assert (got["p"].amounts, got["p"].ids, got["p"].residual, got["p"].not_unique, got["p"].holds) == ([200.0, 3e6, 6e6], [1, 2, 3], 0.0, False, True)
+    assert got["q"].amounts == [7e6, 3000.0, 10e6] and got["q"].holds and not got["r"].holds
+    assert units.joint_amounts(df.limit(0), measures, ["chunk_id"]).count() == 0
+
+
 def test_filings(spark):
     log = spark.createDataFrame(
         [("a", "p", 1, 1200, 150, "", "complete", 3, "", "p3", 1.0), ("a", "p", 1, 1200, 150, "", "failed", 0, "x", "p3", 2.0), ("b", "q", 1, 1200, 150, "", "complete", 3, "", "p3", 1.0)],

@@ -10,7 +10,7 @@ Plan
    pivots in order (a permutation prefix).
 3. It is posted in inverted files, each for a pair of its ``post`` nearest
    pivots (see ``pivot_pairs``).  The number of pivots grows with the square root of the number of
-   vectors, so the files keep their size as the data grow.
+   vectors, so the files keep their size (some 60 rows) as the data grow.
 4. Inside a file every two vectors (up to ``max_footrule`` apart, if that is
    given) are scored with the 8-bit vectors that the postings carry.  Rounding
    moves a vector by a known length at most, so a score is an interval of
@@ -309,7 +309,7 @@ def indexed_near(
 ) -> DataFrame:
     """``(a, b, similarity)`` with a < b: the pairs of classes that the index finds."""
     count = vectors.count()
-    pivots = pivots or int(min(MAX_PIVOTS, max(16, 1.3 * count**0.5)))
+    pivots = pivots or int(min(MAX_PIVOTS, max(16, 0.45 * count**0.5)))
     chosen = choose_pivots(vectors, key, embedding, width, pivots)
     prefix = min(prefix, len(chosen))
     post = min(post, prefix)

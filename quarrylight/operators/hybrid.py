@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.operators import dense, fusion, lexical
-from quarrylight.session import materialise
+from quarrylight.session import materialise, together
 from quarrylight.settings import Settings
 
 DENSE, LEXICAL = 0, 10  # what is added to a form's number to number its lists: dense lists come first
@@ -35,9 +35,14 @@ class Corpus:
         docs = materialise(lexical.corpus(chunks), "corpus")
         one = dense.usable_vectors(vectors, width).groupBy("chunk_id").agg(F.min_by("embedding", "vec_id").alias("embedding"))
         placed = one.join(docs.select("chunk_id", "company", "fiscal_year"), "chunk_id")
-        held = materialise(placed, "vectors")
-        known = [materialise(rows.select("company", "fiscal_year").distinct(), "places") for rows in (docs, held)]
-        return cls(docs, lexical.Index.build(docs), held, *known)
+        places = lambda rows: materialise(rows.select("company", "fiscal_year").distinct(), "places")
+
+        def dense_part() -> tuple[DataFrame, DataFrame]:
+            held = materialise(placed, "vectors")
+            return held, places(held)
+
+        index, known, (held, vector_known) = together(lambda: lexical.Index.build(docs), lambda: places(docs), dense_part)
+        return cls(docs, index, held, known, vector_known)
 
 
 def depth(top_k: int, settings: Settings) -> tuple[int, int]:
@@ -51,7 +56,13 @@ def forms_of(questions: DataFrame) -> DataFrame:
     return each.select("query_id", "question", (F.col("i") + 1).alias("list_no"), "query")
 
 
-def lists_for(questions: DataFrame, filters: DataFrame, corpus: Corpus, top_k: int, settings: Settings) -> DataFrame:
+def keyed_forms(questions: DataFrame) -> DataFrame:
+    """``(query_id, form, query)``: the forms of each question under keys of their own, written."""
+    key = F.concat_ws("\x1f", "query_id", F.col("list_no").cast("string"))
+    return materialise(forms_of(questions).select("query_id", key.alias("form"), "query"), "forms")
+
+
+def lists_for(forms: DataFrame, filters: DataFrame, corpus: Corpus, top_k: int, settings: Settings) -> DataFrame:
     """``(query_id, list_no, rank, chunk_id)``: a dense and a lexical list for each form, under relaxed filters.
 
     Offline there is no model to embed a form: its vector is that of its best
@@ -59,8 +70,6 @@ def lists_for(questions: DataFrame, filters: DataFrame, corpus: Corpus, top_k: i
     company names without regard to case, dense ones case by case.
     """
     n_dense, n_lexical = depth(top_k, settings)
-    key = F.concat_ws("\x1f", "query_id", F.col("list_no").cast("string"))
-    forms = materialise(forms_of(questions).select("query_id", key.alias("form"), "query"), "forms")
 
     def under(relaxed: DataFrame, ids: DataFrame) -> DataFrame:
         return ids.join(relaxed.drop("tier"), "query_id", "left").drop("query_id").withColumnRenamed("form", "query_id")
@@ -86,12 +95,12 @@ def candidates(questions: DataFrame, corpus: Corpus, top_k: int, settings: Setti
     """
     questions = materialise(questions, "questions")
     inferred = lexical.infer_filters(questions.select("query_id", F.col("question").alias("query")), corpus.places)
-    filters = materialise(lexical.merged_filters(questions, inferred), "filters")
-    lists = materialise(lists_for(questions, filters, corpus, top_k, settings), "lists")
+    filters, forms = together(lambda: materialise(lexical.merged_filters(questions, inferred), "filters"), lambda: keyed_forms(questions))
+    lists = materialise(lists_for(forms, filters, corpus, top_k, settings), "lists")
     empty = questions.join(lists.select("query_id").distinct(), "query_id", "left_anti").join(filters.filter("NOT explicit"), "query_id", "left_semi")
     if not empty.isEmpty():
         free = empty.select("query_id", F.lit(None).cast("string").alias("company"), F.lit(None).cast("int").alias("fiscal_year"))
-        lists = lists.unionByName(lists_for(empty, free, corpus, top_k, settings))
+        lists = lists.unionByName(lists_for(forms.join(empty.select("query_id"), "query_id", "left_semi"), free, corpus, top_k, settings))
     return materialise(fusion.reciprocal_rank_fusion(lists), "fused")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.operators.best import Best, eligible, query_blocks, top_k
-from quarrylight.session import materialise
+from quarrylight.session import materialise, together
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # Okapi parameters
 BLOCK = 1024  # queries searched at once: some 1000 x 10,000 weights, 80 MB
@@ -79,7 +79,8 @@ class Index:
     def build(cls, docs: DataFrame) -> Index:
         """The index of a corpus, written to the shared folder so that every search reads it."""
         rows = materialise(indexed_rows(docs), "index")
-        return cls(rows, materialise(term_stats(rows), "terms"), corpus_stats(rows).first()["avgdl"] or 1.0)
+        idf, mean = together(lambda: materialise(term_stats(rows), "terms"), lambda: corpus_stats(rows).first()["avgdl"])
+        return cls(rows, idf, mean or 1.0)
 
     def write(self, folder: str) -> None:
         """Keeps the index in a folder, in place of what is there."""

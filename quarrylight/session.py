@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
@@ -53,6 +56,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*calls: Callable):
+    """The results of calls that do not need each other; their Spark jobs run side by side."""
+    spark = SparkSession.getActiveSession()
+    own = inheritable_thread_target(spark) if spark else (lambda call: call)
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [f.result() for f in [pool.submit(own(c)) for c in calls]]
+
+
 _written: list[str] = []
 
 

@@ -100,7 +100,13 @@ ADDRESSES = [
     re.compile(rf"(?:{_before})\ (?:(?:de\ la|del|de|du)\ )?{CAP},?\ \d{{1,5}}\b(?!\d)", re.X),
 ]
 #: German streets named by a place, told by the postal code behind the house number: "Unter den Linden 5, 10117 Berlin".
-ADDRESS_AT = re.compile(rf"\b(?:Am|An\ der|Auf\ (?:dem|der)|Hinter\ (?:dem|der)|Im|In\ (?:der|den)|Unter\ (?:dem|den|der)|Vor\ (?:dem|der)|Zum|Zur)(?:\ {CAP})+\ \d{{1,4}}[a-z]?(?=,?\ \d{{5}}\ {CAP})")
+ADDRESS_AT = re.compile(
+    rf"""[AHIUVZ](?<!\w.)(?:
+        (?<=A)m | (?<=A)n\ der | (?<=A)uf\ (?:dem|der) | (?<=H)inter\ (?:dem|der) | (?<=I)m | (?<=I)n\ (?:der|den)
+      | (?<=U)nter\ (?:dem|den|der) | (?<=V)or\ (?:dem|der) | (?<=Z)u[mr]
+    )(?:\ {CAP})+\ \d{{1,4}}[a-z]?(?=,?\ \d{{5}}\ {CAP})""",
+    re.X,
+)
 ADDRESS_END = re.compile(rf"(?:{_ends})\ \d{{1,5}}[a-z]?\b")
 FLAT_BEFORE = re.compile(r"(?:Flat|Apt\.?|Apartment|Unit) \d{1,4}[A-Za-z]?, \Z")
 WORD_BEFORE = re.compile(r"[A-ZÄÖÜ]\w*\Z")

@@ -44,7 +44,7 @@ from quarrylight.session import materialise
 SCALE = 32767  # vectors are held in 16-bit fixed point: similarities are right to about 1e-5
 STEPS = 15000  # to a unit of distance in the bounds of pairs, two bytes each
 ROUND = 262_144  # classes sent to all tasks at once in an exhaustive search: 36 MB at width 64
-MAX_PIVOTS = 65_536  # bound of the sample that the driver holds (16 MB at width 64), reached at 2.5 billion vectors
+MAX_PIVOTS = 65_536  # bound of the sample that the driver holds (16 MB at width 64), reached at 21 billion vectors
 
 
 def unit_matrix(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:

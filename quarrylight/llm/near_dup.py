@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ from quarrylight.llm.blocks import PROBED, binary_rows, bucket_units, fixed_byte
 
 TOKEN = "[a-z0-9]+"
 WORDS = 8  # words of 16 bits in a code
+STEP = 1 << 18  # pairs that a walk makes at a time
+PORTION = 3_000_000  # bytes of n-gram sets that are unpacked at a time
 
 
 def token_count(text: F.Column) -> F.Column:
@@ -59,6 +62,23 @@ def unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return four.view("<u4").ravel(), size
 
 
+def portions(size: np.ndarray, most: int = PORTION) -> Iterator[tuple[int, int]]:
+    """Row ranges [begin, end) whose sizes add up to at most ``most``; a larger row stands alone."""
+    total, begin = np.cumsum(size), 0
+    while begin < len(size):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most, "right")))
+        yield begin, end
+        begin = end
+
+
+def sliced(batches: Iterator[pa.RecordBatch], sets: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the n-gram sets in these columns stay within a portion."""
+    for batch in batches:
+        size = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in sets)
+        for begin, end in portions(size):
+            yield batch.slice(begin, end - begin)
+
+
 def ngram_sets(rows: DataFrame, text: str, n: int, min_tokens: int) -> DataFrame:
     """``(class, grams)`` per distinct text of at least ``min_tokens`` tokens.
 
@@ -76,7 +96,7 @@ def ngram_sets(rows: DataFrame, text: str, n: int, min_tokens: int) -> DataFrame
                 tokens = find(t.lower())
                 if len(tokens) < max(min_tokens, n):
                     continue
-                if len(seen) > 2_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 for w in tokens:
                     if w not in seen:
@@ -103,9 +123,7 @@ def trie_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     flip = rng.integers(0, 2**63, hashes, dtype=np.uint64)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in sliced(batches, (1,)):
             values, size = unpack(batch.column(1).to_pylist())
             begins = np.cumsum(size) - size
             grams = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -131,40 +149,96 @@ def trie_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     return sets.mapInArrow(sketch, "key long, class long, code binary")
 
 
-def trie_self_join(group: np.ndarray, words: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of one group whose codes differ in at most ``budget`` bits.
+def trie_walk(
+    group: np.ndarray, words: np.ndarray, budget: int, roots: tuple[np.ndarray, np.ndarray] | None = None, step: int = STEP
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs i < j whose codes differ in at most ``budget`` bits, a part at a time.
 
     ``group`` numbers the tries' tops, ``words`` (n x w, 16-bit) are the codes;
-    rows are sorted by group, then code.  The tries of all groups are walked at
-    once, one word per step: each step replaces a pair of nodes by the pairs of
-    their children and prunes by the differing bits so far.
+    rows are sorted by group, then code.  ``roots`` are the pairs of groups to
+    compare, the lesser first (each with itself by default).  The tries are
+    walked one word per step: each step replaces a pair of nodes by the pairs of
+    their children and prunes by the differing bits so far.  Two nodes of one row
+    each are compared at once.  At most ``step`` pairs of children are made
+    before the walk goes down, so a hot group takes no more memory than a small one.
     """
     n, depth = words.shape
     new = np.ones(n, bool)
     new[1:] = group[1:] != group[:-1]
-    begin = np.flatnonzero(new)  # nodes of the present depth, as first rows
-    a = b = np.arange(len(begin))
-    errors = np.zeros(len(begin), np.int16)
+    nodes = [np.flatnonzero(new)]  # of each depth, as first rows; below the last word come the rows
     for d in range(depth):
         new[1:] |= words[1:, d] != words[:-1, d]
-        child = np.flatnonzero(new)
-        first = np.searchsorted(child, begin)
-        count = np.diff(np.append(first, len(child)))
-        many = count[a] * count[b]
-        at = np.repeat(np.arange(len(a)), many)
-        rank = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-        i, j = first[a[at]] + rank // count[b[at]], first[b[at]] + rank % count[b[at]]
+        nodes.append(np.flatnonzero(new))
+    nodes.append(np.arange(n))
+    first = [np.searchsorted(c, p) for p, c in zip(nodes, nodes[1:])]
+    count = [np.diff(np.append(f, len(c))) for f, c in zip(first, nodes[1:])]
+    alone = [np.diff(np.append(x, n)) == 1 for x in nodes]
+    whole = np.zeros((n, -(-depth // 4) * 4), np.uint16)
+    whole[:, :depth] = words
+    whole = [np.ascontiguousarray(x) for x in whole.view(np.uint64).T]
+
+    def children(d, a, b, errors, many, ends, low, high):
+        """Of the pairs of children numbered from low to high: row pairs that are done, and what is left to walk."""
+        s, e = np.searchsorted(ends, (low, high - 1), "right")
+        e += 1
+        at = np.repeat(np.arange(s, e), np.minimum(ends[s:e], high) - np.maximum(ends[s:e] - many[s:e], low))
+        x, y = np.divmod(np.arange(low, high) - (ends[at] - many[at]), count[d][b[at]])
+        i, j = first[d][a[at]] + x, first[d][b[at]] + y
+        if d == depth:
+            keep = i < j
+            return (i[keep], j[keep]), None
+        child = nodes[d + 1]
         spent = errors[at] + np.bitwise_count(words[child[i], d] ^ words[child[j], d])
         keep = (i <= j) & (spent <= budget)
-        a, b, errors, begin = i[keep], j[keep], spent[keep], child
-    end = np.append(begin[1:], n)
-    size = end - begin
-    many = size[a] * size[b]
-    at = np.repeat(np.arange(len(a)), many)
-    rank = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-    i, j = begin[a[at]] + rank // size[b[at]], begin[b[at]] + rank % size[b[at]]
-    keep = i < j
-    return i[keep], j[keep]
+        i, j, spent = i[keep], j[keep], spent[keep]
+        one = alone[d + 1][i] & alone[d + 1][j]
+        x, y = child[i[one]], child[j[one]]
+        near = (x < y) & (sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int16) for w in whole) <= budget)
+        return (x[near], y[near]), (i[~one], j[~one], spent[~one])
+
+    def walk(d, a, b, errors):
+        many = count[d][a] * count[d][b]
+        ends = np.cumsum(many)
+        total = int(ends[-1]) if len(ends) else 0
+        for low in range(0, total, step):
+            done, rest = children(d, a, b, errors, many, ends, low, min(low + step, total))
+            if len(done[0]):
+                yield done
+            if rest and len(rest[0]):
+                yield from walk(d + 1, *rest)
+
+    a, b = (np.arange(len(nodes[0])),) * 2 if roots is None else roots
+    yield from walk(0, a, b, np.zeros(len(a), np.int16))
+
+
+def trie_self_join(group: np.ndarray, words: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of one group whose codes differ in at most ``budget`` bits, as ``trie_walk`` finds them."""
+    parts = list(trie_walk(group, words, budget)) or [(np.zeros(0, np.int64),) * 2]
+    i, j = (np.concatenate(x) for x in zip(*parts))
+    return i, j
+
+
+def class_pairs(parts: Iterator[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, step: int = STEP) -> Iterator[pa.RecordBatch]:
+    """``(class_a, class_b)`` of row pairs, about ``step`` pairs a batch; a batch holds no pair twice."""
+
+    def batch() -> pa.RecordBatch:
+        x, y = (classes[np.concatenate(side)] for side in zip(*held))
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["class_a", "class_b"])
+
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= step:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def trie_pairs(rows: DataFrame, budget: int, block: int, hot: DataFrame | None = None) -> DataFrame:
@@ -173,18 +247,19 @@ def trie_pairs(rows: DataFrame, budget: int, block: int, hot: DataFrame | None =
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_units(batches, "key"):
             starts = unit_starts(part, "key")
-            group = np.zeros(part.num_rows, np.int64)
-            group[starts] = 1
-            group = np.cumsum(group)
+            unit = np.zeros(part.num_rows, np.int64)
+            unit[starts] = 1
+            unit = np.cumsum(unit)
             words = fixed_bytes(part.column("code"), WORDS * 2).copy().view(">u2").astype(np.uint16)
+            u, v, blk = (part.column(c).to_numpy() for c in ("u", "v", "blk"))
+            group = 2 * unit + (blk != u)  # the blocks of a unit are tries of their own
             order = np.lexsort((*words.T[::-1], group))
-            classes = part.column("class").to_numpy()[order]
-            u, v, blk = (part.column(c).to_numpy()[order] for c in ("u", "v", "blk"))
-            i, j = trie_self_join(group[order], words[order], budget)
-            keep = (u[i] == v[i]) | (blk[i] != blk[j])
-            x, y = classes[i[keep]], classes[j[keep]]
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["class_a", "class_b"])
+            group = group[order]
+            tops = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1))
+            own = np.flatnonzero((u == v)[order][tops])
+            two = np.flatnonzero(np.diff(group[tops] // 2) == 0)
+            roots = np.concatenate((own, two)), np.concatenate((own, two + 1))
+            yield from class_pairs(trie_walk(group, words[order], budget, roots), part.column("class").to_numpy()[order])
 
     units = bucket_units(rows, "key", "class", block, hot)
     return units.mapInArrow(join, "class_a long, class_b long").distinct()
@@ -194,9 +269,7 @@ def exact_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     """``(class_a, class_b, jaccard)`` of the pairs that reach the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in sliced(batches, (2, 3)):
             sides, sizes = [], []
             for c in (2, 3):
                 values, size = unpack(batch.column(c).to_pylist())

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -103,6 +104,32 @@ def test_trie_join_against_all_pairs():
     assert set(zip(i.tolist(), j.tolist())) == want
 
 
+def test_trie_walk_in_bounded_steps():
+    rng = np.random.default_rng(3)
+    words = np.repeat(rng.integers(0, 65536, (1, 8)), 2000, 0).astype(np.uint16) ^ np.packbits(rng.random((2000, 128)) < 0.12, axis=1).view(np.uint16)
+    group = np.repeat([0, 1], [900, 1100])
+    words = words[np.lexsort((*words.T[::-1], group))]
+    differ = np.bitwise_count(words[:, None] ^ words[None]).sum(2, dtype=np.int64)
+    tracemalloc.start()
+    parts = list(near_dup.trie_walk(group, words, 25, step=5000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = [p for i, j in parts for p in zip(i.tolist(), j.tolist())]
+    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(differ <= 25, 1))) if group[a] == group[b]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100_000
+    assert max(len(i) for i, _ in parts) <= 5000 and peak < 20e6  # all pairs of children at once: 100 MB
+    across = [(int(a), int(b)) for i, j in near_dup.trie_walk(group, words, 25, (np.array([0]), np.array([1])), 5000) for a, b in zip(i, j)]
+    assert sorted(across) == [(a, b) for a, b in zip(*np.nonzero(differ[:900, 900:] <= 25)) for b in [b + 900]]
+    assert sum(len(i) for i, _ in near_dup.trie_walk(group[:0], words[:0], 25)) == 0
+
+
+def test_portions_and_class_pairs():
+    assert list(near_dup.portions(np.array([3, 3, 9, 1, 1, 1]), 6)) == [(0, 2), (2, 3), (3, 6)] and list(near_dup.portions(np.zeros(0, int), 6)) == []
+    parts = [(np.array([0, 1]), np.array([2, 0])), (np.array([2, 1]), np.array([0, 2]))]
+    got = [b.to_pylist() for b in near_dup.class_pairs(iter(parts), np.array([30, -10, 20]), 3)]
+    assert got == [[{"class_a": -10, "class_b": 20}, {"class_a": -10, "class_b": 30}, {"class_a": 20, "class_b": 30}]]
+
+
 def test_ragged_pairs():
     got = {(int(a), int(b)) for i, j in blocks.ragged_pairs(np.array([0, 3, 4]), np.array([3, 4, 7]), 2) for a, b in zip(i, j)}
     assert got == {(0, 1), (0, 2), (1, 2), (4, 5), (4, 6), (5, 6)}

@@ -22,12 +22,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.session import materialise
+
 # Scale words, currencies and units with their factor to the common unit.
 SCALES = {
     "thousand": 1e3, "thousands": 1e3, "k": 1e3, "'000": 1e3, "000": 1e3, "000s": 1e3, "tsd": 1e3, "t": 1e3,
@@ -268,36 +270,42 @@ IDENTITIES = [
 def joint_amounts(records: DataFrame, measures: DataFrame, place: list[str], key: str = "input_id", tolerance: float = 0.02) -> DataFrame:
     """``(place..., identity, ids, amounts, residual, solutions, not_unique, holds)`` of quantities tied by an identity.
 
-    ``place`` names the columns that quantities must share; of several records
-    of a name the one with the least key counts.  Every combination of candidate
-    units is tried, 64 at most; ``residual`` is the least distance of both sides
-    in logarithms, ``solutions`` the number of combinations with other amounts
-    that come as near, and ``holds`` whether the residual is within the
-    tolerance.  Zero and negative sides fit nothing.  Groups are small: one
-    record per name and place.
+    ``place`` names the columns that quantities must share; null places tie
+    nothing.  Every three records of one place that have an identity's names
+    give a row, so of several records of a name each meets all the others.
+    Every combination of their candidate units is tried (a record has at most
+    four); ``residual`` is the least distance of both sides in logarithms,
+    ``solutions`` the number of combinations with other amounts that come as
+    near, and ``holds`` whether the residual is within the tolerance.  Sides
+    that are zero or of different signs fit nothing: without any fit amounts and
+    residual are null.  Equal rows count once.
     """
-    where = records.select(F.col(key).alias("id"), *place).dropDuplicates(["id"])
-    names = sorted({n for i in IDENTITIES for n in i[:3]})
-    solved = candidates(records, measures, key).filter(F.col("name").isin(names))
-    each = solved.select("id", "name", F.transform("tried", lambda c: F.col("x") * c["factor"]).alias("amounts")).dropDuplicates(["id"])
-    first = each.join(where.dropna(subset=place), "id").groupBy(*place, "name").agg(F.min_by(F.struct("id", "amounts"), "id").alias("r"))
-    held = first.groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("name", "r"))).alias("m")).filter(F.size("m") > 2)
-    parts = []
-    for a, b, c, kind, scale in IDENTITIES:
-        rows = held.select(*place, *[F.try_element_at("m", F.lit(n)).alias(n_) for n, n_ in ((a, "a"), (b, "b"), (c, "c"))]).dropna(subset=["a", "b", "c"])
-        parts.append(rows.withColumns({"identity": F.lit(f"{a}, {b}, {c}"), "kind": F.lit(kind), "scale": F.lit(scale)}))
-    tied = reduce(DataFrame.unionByName, parts)
+    keyed = records.dropna(subset=[key, *place]).withColumn("placed", F.struct(F.col(key).alias("id"), *[F.col(p).alias(f"p{n}") for n, p in enumerate(place)]))
+    roles = [(n, i, r) for i, identity in enumerate(IDENTITIES) for r, n in enumerate(identity[:3])]
+    parts = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("i"), F.lit(r).alias("r")) for n, i, r in roles])
+    solved = candidates(keyed, measures, "placed").filter(F.col("name").isin(sorted({n for n, _, _ in roles})))
+    each = solved.select("id", "name", F.transform("tried", lambda c: F.col("x") * c["factor"]).alias("amounts")).distinct()
+    taken = each.withColumn("part", F.explode(F.filter(parts, lambda p: p["name"] == F.col("name"))))
+    held = materialise(taken.select(F.col("id.*"), F.col("part.i").alias("i"), F.col("part.r").alias("r"), "amounts"), "quantities")
+    tie = ["i", *[f"p{n}" for n in range(len(place))]]
+    full = held.groupBy(tie).agg(F.collect_set("r").alias("r")).filter(F.size("r") == 3).select(tie)
+    tied = full
+    for r, side in enumerate("abc"):
+        tied = tied.join(held.filter(F.col("r") == r).select(*tie, F.struct("id", "amounts").alias(side)), tie)
+    known = [F.element_at(F.array(*[F.lit(v) for v in x]), F.col("i") + 1) for x in zip(*[(f"{a}, {b}, {c}", kind, float(scale)) for a, b, c, kind, scale in IDENTITIES])]
+    named = [F.col(f"p{n}").alias(p) for n, p in enumerate(place)]
+    tied = tied.select(*named, "a", "b", "c", *[k.alias(n) for k, n in zip(known, ("identity", "kind", "scale"))])
 
     def residual(x, y, z):
         left = F.when(F.col("kind") == "product", x * y * F.col("scale")).when(F.col("kind") == "share", z * y * F.col("scale")).otherwise(z * (1 - y * F.col("scale")))
         right = F.when(F.col("kind") == "product", z).otherwise(x)
-        return F.when((left > 0) & (right > 0), F.abs(F.ln(left) - F.ln(right)))
+        return F.when((left > 0) & (right > 0) | (left < 0) & (right < 0), F.abs(F.ln(F.abs(left)) - F.ln(F.abs(right))))
 
     combine = lambda x, y, z: F.struct(F.round(residual(x, y, z), 6).alias("residual"), F.array(x, y, z).alias("amounts"))
     every = F.flatten(
         F.transform("a.amounts", lambda x: F.flatten(F.transform("b.amounts", lambda y: F.transform("c.amounts", lambda z: combine(x, y, z)))))
     )
-    tried = tied.withColumn("tried", F.array_distinct(F.filter(every, lambda t: t["residual"].isNotNull()))).filter(F.size("tried") > 0)
+    tried = tied.withColumn("tried", F.array_distinct(F.filter(every, lambda t: t["residual"].isNotNull())))
     tried = tried.withColumn("best", F.array_min("tried"))
     solutions = F.size(F.filter("tried", lambda t: t["residual"] == F.col("best.residual")))
     return tried.select(
@@ -308,5 +316,5 @@ def joint_amounts(records: DataFrame, measures: DataFrame, place: list[str], key
         F.col("best.residual").alias("residual"),
         solutions.alias("solutions"),
         (solutions > 1).alias("not_unique"),
-        (F.col("best.residual") <= tolerance).alias("holds"),
+        F.coalesce(F.col("best.residual") <= tolerance, F.lit(False)).alias("holds"),
     )

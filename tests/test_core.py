@@ -222,6 +222,24 @@ def test_units_by_identities(spark):
     assert units.joint_amounts(df.limit(0), measures, ["chunk_id"]).count() == 0
 
 
+def test_every_record_of_a_name_meets_its_partners(spark):
+    kinds = {"eps_diluted": "per_share", "shares_outstanding": "shares", "net_income": "money"}
+    measures = spark.createDataFrame([(n, k, "x") for n, k in kinds.items()], "name string, quantity_kind string, common_unit string")
+    rows = [
+        (1, "eps_diluted", 9.0, "USD/share", None, "p"), (2, "eps_diluted", 2.0, "USD/share", None, "p"), (3, "shares_outstanding", 3e6, "shares", None, "p"),
+        (4, "shares_outstanding", 5e6, "shares", None, "p"), (5, "net_income", 1.0, "USD", None, "p"), (6, "net_income", 6e6, "USD", None, "p"),
+        (7, "eps_diluted", -2.0, "USD/share", None, "loss"), (8, "shares_outstanding", 3e6, "shares", None, "loss"), (9, "net_income", -6e6, "USD", None, "loss"),
+        (10, "net_income", 6e6, "USD", None, "loss"), (11, "net_income", 6e6, "USD", None, None), (None, "net_income", 6e6, "USD", None, "p"),
+        *[(100 + i, "eps_diluted", 1.0 + i, "USD/share", None, "many") for i in range(30)], (200, "shares_outstanding", 1e6, "shares", None, "many"), (201, "net_income", 30e6, "USD", None, "many"),
+    ]
+    df = spark.createDataFrame(rows, "input_id long, name string, value double, unit string, source_text string, chunk_id string")
+    got = {tuple(r.ids): r for r in units.joint_amounts(df.unionByName(df), measures, ["chunk_id"]).collect()}
+    assert set(got) == {(a, b, c) for a in (1, 2) for b in (3, 4) for c in (5, 6)} | {(7, 8, 9), (7, 8, 10)} | {(100 + i, 200, 201) for i in range(30)}
+    assert [k for k, r in sorted(got.items()) if r.holds] == [(2, 3, 6), (7, 8, 9), (129, 200, 201)]
+    assert (got[7, 8, 10].residual, got[7, 8, 10].amounts, got[7, 8, 10].solutions, got[7, 8, 10].not_unique) == (None, None, 0, False)
+    assert got[7, 8, 9].amounts == [-200.0, 3e6, -6e6] and got[7, 8, 9].residual == 0.0 and got[7, 8, 9].chunk_id == "loss"
+
+
 def test_filings(spark):
     log = spark.createDataFrame(
         [("a", "p", 1, 1200, 150, "", "complete", 3, "", "p3", 1.0), ("a", "p", 1, 1200, 150, "", "failed", 0, "x", "p3", 2.0), ("b", "q", 1, 1200, 150, "", "complete", 3, "", "p3", 1.0)],
